@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Most pieces that a task remembers, and most characters of them. Both bound memory only; results don't depend on them.
-MEMO_PIECES, MEMO_LENGTH = 1 << 18, 1 << 23
-#: Characters of text whose pieces are held at once (one longer text is held alone).
-HELD = 1 << 22
+MEMO_PIECES, MEMO_LENGTH = 1 << 17, 1 << 22
+#: Characters of text, or ids, that are worked on at once (one longer text is held alone).
+HELD = 1 << 20
 #: Pieces of more bytes than this are merged alone, with a heap: n log n instead of n squared.
 LONG_PIECE = 96
 NONE = np.iinfo(np.int32).max
@@ -213,8 +213,8 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: s
         encoder = Encoder(parse_ranks(shared.value), pattern)
         for batch in batches:
             found, held, size = [], [], 0
-            for text in batch.column(at).to_pylist():
-                held.append(text or "")
+            for value in batch.column(at):
+                held.append(value.as_py() or "")
                 size += len(held[-1])
                 if size >= HELD:
                     found.append(encoder(held))
@@ -227,6 +227,16 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: s
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
+def pieces_of(column: pa.ListArray, n: int, start: np.ndarray, length: np.ndarray, store: np.ndarray) -> list[bytes | None]:
+    """The joined pieces of each list of ids; a piece is store[start : start + length], and the last one stands for other ids."""
+    flat = column.flatten().fill_null(-1).to_numpy().astype(np.int64)
+    flat[(flat < 0) | (flat >= n)] = n
+    counts = np.array(column.value_lengths().fill_null(0), np.int64)
+    size = np.concatenate([[0], np.cumsum(length[flat])])[np.concatenate([[0], np.cumsum(counts)])]
+    data = gather(store, start[flat], length[flat]).tobytes()
+    return [data[a:b] if whole else None for a, b, whole in zip(size[:-1], size[1:], column.is_valid().to_pylist())]
+
+
 def decode(df: DataFrame, ranks: bytes, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the bytes of each list of ids, as binary (a cut text need not be UTF-8)."""
     if decoded.lower() in (c.lower() for c in df.columns):
@@ -241,13 +251,11 @@ def decode(df: DataFrame, ranks: bytes, ids: str = "ids", decoded: str = "decode
         start = np.concatenate([[0], np.cumsum(length)[:-1]])
         store = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(n)), np.uint8)
         for batch in batches:
-            column = batch.column(at)
-            flat = column.flatten().fill_null(-1).to_numpy().astype(np.int64)
-            flat[(flat < 0) | (flat >= n)] = n
-            counts = np.array(column.value_lengths().fill_null(0), np.int64)
-            size = np.concatenate([[0], np.cumsum(length[flat])])[np.concatenate([[0], np.cumsum(counts)])]
-            data = gather(store, start[flat], length[flat]).tobytes()
-            rows = [data[a:b] if whole else None for a, b, whole in zip(size[:-1], size[1:], column.is_valid().to_pylist())]
+            column, rows = batch.column(at), []
+            lot = np.cumsum(column.value_lengths().fill_null(0).to_numpy()) // HELD
+            for part in np.split(np.arange(len(column)), np.flatnonzero(np.diff(lot)) + 1):
+                if len(part):
+                    rows += pieces_of(column.slice(part[0], len(part)), n, start, length, store)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, decoded])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())]))

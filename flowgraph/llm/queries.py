@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_bpe, q_mixing, q_sharding
+from . import q_bpe, q_langid, q_mixing, q_sharding, q_toxicity
 
-MODULES = (q_bpe, q_mixing, q_sharding)
+MODULES = (q_bpe, q_mixing, q_sharding, q_toxicity, q_langid)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
