@@ -94,7 +94,7 @@ def learn(texts: list[str | None], labels: np.ndarray, rounds: int = ROUNDS) ->
         total = np.bincount(doc_of, np.logaddexp(0, z), minlength=len(y))
         slope = np.where(y > 0, -np.exp(-total) / np.maximum(-np.expm1(-total), 1e-9), 1.0)
         each = slope[doc_of] * p
-        gw = np.bincount(column, each[row_of], minlength=len(w)) / len(y) + 1e-4 * w
+        gw = np.bincount(column, each[row_of], minlength=len(w)) / len(y) + 2e-5 * w
         gb = each.sum() / len(y)
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
