@@ -26,7 +26,7 @@ from .vectors import BLOCK_ROWS, best, distinct_vectors, matrix, nearest, query_
 
 TREES, BITS = 100, 16
 #: Candidates that end the ascent: a share of the block (counted once in every tree), and at least so many.
-SHARE, FEWEST = 0.4, 512
+SHARE, FEWEST = 0.7, 1024
 SEED = 11
 
 
