@@ -11,20 +11,22 @@ from pyspark.sql import functions as F
 
 from flowgraph.llm import langid, ngram_join, q_bpe, q_langid, q_toxicity, toxicity
 from flowgraph.llm.mixing import mixed
-from flowgraph.llm.tables import materialise, read, ship
+from flowgraph.llm.tables import materialise, own, read, ship, unique_name
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language, or far from every language learned, go."""
     ship(spark)
-    found = langid.predict(docs, q_langid.learned(docs))
-    return found.where(~F.col("rejected")).select(docs.columns)
+    names = tuple(unique_name(docs, x) for x in ("language_found", "language_score", "language_rejected"))
+    found = langid.predict(docs, q_langid.learned(docs), names=names)
+    return found.where(~F.col(names[2])).select(own(docs))
 
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxic texts go."""
     weights = q_toxicity.learned(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, weights).where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    names = unique_name(docs, "toxic_score"), unique_name(docs, "toxic_spans")
+    return toxicity.score(docs, weights, names=names).where(F.col(names[0]) < toxicity.THRESHOLD).select(own(docs))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +35,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = materialise(ngram_join.near_duplicates(docs), "classes")
     ids = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("least"))
     gone = materialise(ids.where(F.col("least") < F.col("doc_id")).select("doc_id"), "gone")
-    left = docs.join(F.broadcast(gone) if gone.count() <= ngram_join.BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(F.broadcast(gone) if gone.count() <= ngram_join.BROADCAST_IDS else gone, "doc_id", "left_anti").select(own(docs))
     if ids.where("n > 1").isEmpty():
         return left
-    named = left.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
-    return named.select("doc_id", "row.*").select(docs.columns).unionByName(left.where(F.col("doc_id").isNull()))
+    named = left.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct(*own(docs))).alias("row"))
+    return named.select("row.*").unionByName(left.where(F.col("doc_id").isNull()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ over all of them. Decoding gathers the vocabulary's binary pieces by id and conc
 The vocabulary is a rank file (base64 piece, blank, rank per line); its bytes, not the corpus, are what is broadcast.
 
 Cases: null text encodes as empty text, to no ids; null ids decode to null; an id outside the vocabulary decodes to no
-bytes; empty tables give empty results; further columns pass through unchanged, and a clash with the name of a result
-column is an error (choose another name by the parameter).
+bytes; empty tables give empty results; further columns pass through unchanged, but for one that has a result's name, which
+the result replaces (choose another name by the parameter).
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .tables import without
+
 #: Most pieces that a task remembers, and most characters of them. Both bound memory only; results don't depend on them.
 MEMO_PIECES, MEMO_LENGTH = 1 << 17, 1 << 22
 #: Characters of text, or ids, that are worked on at once (one longer text is held alone).
@@ -204,8 +206,7 @@ class Encoder:
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the ids of each whole text as an array<int>; no special tokens."""
-    if ids.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"column {ids} exists already")
+    df = without(df, [ids], text)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     at = df.columns.index(text)
 
@@ -239,8 +240,7 @@ def pieces_of(column: pa.ListArray, n: int, start: np.ndarray, length: np.ndarra
 
 def decode(df: DataFrame, ranks: bytes, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the bytes of each list of ids, as binary (a cut text need not be UTF-8)."""
-    if decoded.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"column {decoded} exists already")
+    df = without(df, [decoded], ids)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     at = df.columns.index(ids)
 

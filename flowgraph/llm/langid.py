@@ -11,7 +11,7 @@ DIMENSIONS * clusters numbers a language; the languages are the classes of the l
 
 Cases: null text and text without a letter are `und` with score 0 and rejected; nothing learned: all `und`; rows of null
 language are not learned from; an empty table gives an empty result; ties between centroids go to the first language in
-code point order; further columns pass through.
+code point order; further columns pass through, but for those of a result's name, which the results replace.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import without
+
 DIMENSIONS = 4096
 UNDETERMINED = "und"
 #: Texts whose vectors are held at once: so many, and so many bytes (one longer text is cut into spans of this size and summed).
@@ -159,8 +161,7 @@ def fit(
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """df with the predicted language, the cosine of its centroid (0 to 1) and whether the text is rejected."""
-    if {c.lower() for c in df.columns} & set(names):
-        raise ValueError(f"df must not have the columns {names}")
+    df = without(df, names, text)
     at = df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -6,7 +6,8 @@ word bigrams, 2 * common / (size + size). Sizes bound the coefficient from above
 of (2 - least) / least of the unit's size are compared at all; most prose lines are near no template's size.
 
 Cases: null and empty text have no match; a unit of fewer than two words has no bigrams and no match; of equal scores
-the first template by name counts; an empty table gives an empty result; further columns pass through.
+the first template by name counts; an empty table gives an empty result; further columns pass through, but
+for one of the result's name, which the result replaces.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .tables import without
+
 LEAST = 0.8
 # Public licence notices and short licence texts, by identifier.
 TEMPLATES = {
@@ -97,8 +100,7 @@ class Matcher:
 
 def scan(df: DataFrame, text: str = "text", result: str = "licenses", templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """df with the matches of each whole text: array of (line, from 1, or 0 for the whole text; license; score)."""
-    if result.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"column {result} exists already")
+    df = without(df, [result], text)
     at = df.columns.index(text)
     match = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("license", T.StringType()), T.StructField("score", T.DoubleType())])
     kind = pa.list_(pa.struct([("line", pa.int32()), ("license", pa.string()), ("score", pa.float64())]))

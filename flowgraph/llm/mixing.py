@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import materialise, size_in_words, unique_name
+from .tables import materialise, own, size_in_words, unique_name
 
 SEED = 17
 #: More sources than this are not broadcast.
@@ -73,29 +73,29 @@ def copies(
 ) -> DataFrame:
     """df with mix = struct(size, source_size, target, copies): how often each document is taken. Sources weigh 1, 2, 3,
     repeating, in code point order."""
-    mix, salt = unique_name(df, "mix"), unique_name(df, "mix_salt")
+    mix, salt, of, plan_of, copy = (unique_name(df, x) for x in ("mix", "mix_salt", "mix_source", "mix_plan", "mix_copy"))
     size = size_in_words(F.col(text))
     sized = df.select(F.col(source).alias("source"), size.alias("size"))
     weights = (F.col("place") - 1) % 3 + 1
     plan = materialise(targets(source_sizes(sized, "size"), weights, share, most), "mix")
-    side = plan.select(F.col("source").alias("mix_source"), F.struct("source_size", "target").alias("mix_plan"))
+    side = plan.select(F.col("source").alias(of), F.struct("source_size", "target").alias(plan_of))
     if plan.count() <= broadcast_sources:
-        joined = df.join(F.broadcast(side), df[source].eqNullSafe(side["mix_source"]), "left")
+        joined = df.join(F.broadcast(side), df[source].eqNullSafe(side[of]), "left")
     else:
         dealt = df.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(salts)))
-        side = side.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = dealt.join(side, dealt[source].eqNullSafe(side["mix_source"]) & (dealt[salt] == side["mix_copy"]), "left").drop(salt, "mix_copy")
-    has = F.col("mix_plan.source_size") > 0
-    rate = F.when(has, F.least(F.col("mix_plan.target") / F.col("mix_plan.source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+        side = side.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = dealt.join(side, dealt[source].eqNullSafe(side[of]) & (dealt[salt] == side[copy]), "left").drop(salt, copy)
+    has = F.col(plan_of)["source_size"] > 0
+    rate = F.when(has, F.least(F.col(plan_of)["target"] / F.col(plan_of)["source_size"], F.lit(float(most)))).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     taken = (whole + (chance(F.col(key), seed) < rate - whole).cast("int")).cast("int")
-    return joined.withColumn(mix, F.struct(size.alias("size"), "mix_plan.source_size", "mix_plan.target", taken.alias("copies"))).drop("mix_source", "mix_plan")
+    return joined.withColumn(mix, F.struct(size.alias("size"), F.col(plan_of)["source_size"].alias("source_size"), F.col(plan_of)["target"].alias("target"), taken.alias("copies"))).drop(of, plan_of)
 
 
-def mixed(df: DataFrame, **options) -> DataFrame:
+def mixed(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The mix itself: df's columns, each document as often as it is taken."""
-    plan = copies(df, **options)
-    mix = next(c for c in plan.columns if c not in df.columns)
+    plan = copies(df, text, key, source, **options)
+    mix = plan.columns[-1]
     n = unique_name(df, "mix_n")
     out = plan.where(F.col(mix)["copies"] > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(mix)["copies"])))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    return out.select(own(df))

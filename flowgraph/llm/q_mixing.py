@@ -10,7 +10,7 @@ from .tables import read
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = copies(read(spark, sf_dir, "documents"))
+    mix = copies(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     size = F.col("mix.size")
     return mix.select("doc_id", size.alias("size"), F.col("mix.source_size"), F.col("mix.target"), (size * F.col("mix.copies")).alias("taken"))
 

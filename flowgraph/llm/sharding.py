@@ -9,7 +9,7 @@ by a hash of the row, each part is numbered on its own and starts after the rows
 summed before they are shuffled, shards * parts rows in all).
 
 Cases: a null key counts as 0; null text has no bytes and the CRC 0; equal rows get different slots; an empty table gives
-an empty result; further columns pass through.
+an empty result; further columns pass through, but for those of a result's name, which the results replace.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import unique_name
+from .tables import unique_name, without
 
 #: Fixed values of the published generator.
 MULTIPLIER = 2862933555777941757
@@ -53,10 +53,8 @@ def jump_shard(key: Column, shards: int) -> Column:
 def sharded(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", parts: int = PARTS) -> DataFrame:
     """df with shard (int), slot (long, gapless from 0 in each shard), size (bytes of the text plus 8), text_crc32 and
     grown_shard (the shard with one shard more)."""
-    for name in ("shard", "slot", "size", "text_crc32", "grown_shard"):
-        if name in {c.lower() for c in df.columns}:
-            raise ValueError(f"column {name} exists already")
-    part, shift, rank = (unique_name(df, x) for x in ("shard_part", "shard_shift", "shard_rank"))
+    df = without(df, ("shard", "slot", "size", "text_crc32", "grown_shard"), key)
+    part, shift, rank, s, p = (unique_name(df, x) for x in ("shard_part", "shard_shift", "shard_rank", "shard_of", "shard_part_of"))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = (
         df.withColumn("shard", jump_shard(F.col(key), shards))
@@ -65,11 +63,11 @@ def sharded(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
         .withColumn("text_crc32", F.crc32(body))
         .withColumn(part, F.pmod(F.coalesce(F.col(key), F.lit(0)) + F.col("text_crc32"), F.lit(parts)))
     )
-    counts = rows.groupBy(F.col("shard").alias("s"), F.col(part).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("s", "p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(shift))
+    counts = rows.groupBy(F.col("shard").alias(s), F.col(part).alias(p)).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(s).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(s, p, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(shift))
     within = Window.partitionBy("shard", part).orderBy(F.col(key), F.col("text_crc32"), F.col("size"))
     joined = rows.withColumn(rank, F.row_number().over(within)).join(
-        F.broadcast(starts) if shards * parts <= 1 << 17 else starts, (F.col("shard") == F.col("s")) & (F.col(part) == F.col("p"))
+        F.broadcast(starts) if shards * parts <= 1 << 17 else starts, (F.col("shard") == F.col(s)) & (F.col(part) == F.col(p))
     )
-    return joined.withColumn("slot", (F.col(shift) + F.col(rank) - 1).cast("long")).drop("s", "p", part, shift, rank)
+    return joined.withColumn("slot", (F.col(shift) + F.col(rank) - 1).cast("long")).drop(s, p, part, shift, rank)

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,19 @@ def unique_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def own(df: DataFrame) -> list[F.Column]:
+    """df's columns, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def without(df: DataFrame, names: Iterable[str], needed: str) -> DataFrame:
+    """df without extra columns of these names (in any case), so that results can take them; `needed` must not be one."""
+    taken = {n.lower() for n in names}
+    if needed.lower() in taken:
+        raise ValueError(f"a result can't have the name of its input {needed}; choose another name")
+    return df.select([c for c, name in zip(own(df), df.columns) if name.lower() not in taken])
+
+
 def size_in_words(text) -> F.Column:
     """Number of words of a text column; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -11,7 +11,7 @@ chosen by a hash of their ids. Broadcast are those ids (bounded alike) and the w
 
 Cases: null and empty text have no sentences and score 0; rows without a label, or of null label or id, are not learned
 from; a document labelled twice counts as labelled 1 if any of its labels is 1; without documents of both labels every
-score is 0; further columns pass through.
+score is 0; further columns pass through, but for those of a result's name, which the results replace.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import without
+
 FEATURES = 4096
 POSITIVES, NEGATIVES = 2000, 4000
 THRESHOLD = 0.3
@@ -159,8 +161,7 @@ def sentence_sums(text: str, weights: Weights, bias: float) -> np.ndarray:
 def score(df: DataFrame, weights: dict[str, float], text: str = "text", names: tuple[str, str] = ("score", "offending"), threshold: float = THRESHOLD) -> DataFrame:
     """df with the score (0 to 1) of each whole text, and of texts that reach the threshold the sentences of that score
     themselves, or else the one of the highest score, as spans (start, end in characters, score)."""
-    if {c.lower() for c in df.columns} & set(names):
-        raise ValueError(f"df must not have the columns {names}")
+    df = without(df, names, text)
     at = df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast(weights)
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])

@@ -11,7 +11,8 @@ Per-node tables are counts, summed before they are shuffled; they are joined by
 `broadcast_nodes` rows, else by shuffle.
 
 Cases: a null url, or one without ://, has empty host and path; segments beyond `depth` are one open end (**); rows of
-equal url share verdicts; an empty table gives an empty result; further columns pass through.
+equal url share verdicts; an empty table gives an empty result; further columns pass through, but for those of a result's name, which the
+results replace.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise, unique_name
+from .tables import materialise, unique_name, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEPTH = 6
@@ -59,9 +60,11 @@ def _side(df: DataFrame, broadcast_nodes: int) -> DataFrame:
 def judged(df: DataFrame, rules: dict[str, str], url: str = "url", depth: int = DEPTH, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """df with host, path, rule (null if none fits), template, purity and verdict (allow or block)."""
     made = ("host", "path", "rule", "template", "purity", "verdict")
-    if {c.lower() for c in df.columns} & set(made):
-        raise ValueError(f"df must not have the columns {made}")
+    df = without(df, made, url)
     label, parts, seg = (unique_name(df, x) for x in ("url_label", "url_parts", "url_segment"))
+    wild_host, wild_template, own_host, own_template, own_seg, leaf_host, leaf_template = (
+        unique_name(df, x) for x in ("wild_host", "wild_template", "own_host", "own_template", "own_seg", "leaf_host", "leaf_template")
+    )
     host, path = host_and_path(F.col(url))
     rows = df.withColumn("host", host).withColumn("path", path)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -79,20 +82,20 @@ def judged(df: DataFrame, rules: dict[str, str], url: str = "url", depth: int =
         p = F.col("all_b") / F.col("all_n")
         off = F.col("b") - F.col("n") * p
         differs = (p > 0) & (p < 1) & (off * off >= F.lit(CHI_SQUARE) * (F.col("n") * p * (1 - p)))
-        wild = nodes.where(variable).select(F.col("host").alias("wild_host"), F.col("template").alias("wild_template"))
+        wild = nodes.where(variable).select(F.col("host").alias(wild_host), F.col("template").alias(wild_template))
         # A child is looked up in the table of its level's nodes, which has far fewer rows than there are urls of a hot host.
         own = children.join(nodes.where(~variable), ["host", "template"]).where(differs)
-        own = own.select(F.col("host").alias("own_host"), F.col("template").alias("own_template"), F.col("seg").alias("own_seg"))
+        own = own.select(F.col("host").alias(own_host), F.col("template").alias(own_template), F.col("seg").alias(own_seg))
         wild, own = _side(wild, broadcast_nodes), _side(own, broadcast_nodes)
-        now = now.join(wild, (F.col("host") == F.col("wild_host")) & (F.col("template") == F.col("wild_template")), "left")
-        now = now.join(own, (F.col("host") == F.col("own_host")) & (F.col("template") == F.col("own_template")) & (F.col(seg) == F.col("own_seg")), "left")
-        branch = F.when(F.col("wild_host").isNotNull(), "/*").when(F.col("own_host").isNotNull(), F.concat(F.lit("/="), F.col(seg))).otherwise("/~")
+        now = now.join(wild, (F.col("host") == F.col(wild_host)) & (F.col("template") == F.col(wild_template)), "left")
+        now = now.join(own, (F.col("host") == F.col(own_host)) & (F.col("template") == F.col(own_template)) & (F.col(seg) == F.col(own_seg)), "left")
+        branch = F.when(F.col(wild_host).isNotNull(), "/*").when(F.col(own_host).isNotNull(), F.concat(F.lit("/="), F.col(seg))).otherwise("/~")
         now = now.withColumn("template", F.when(F.col(seg).isNull(), F.col("template")).otherwise(F.concat("template", branch)))
-        rows = materialise(now.drop(seg, "wild_host", "wild_template", "own_host", "own_template", "own_seg"), "urls")
+        rows = materialise(now.drop(seg, wild_host, wild_template, own_host, own_template, own_seg), "urls")
     rows = rows.withColumn("template", F.when(F.size(parts) > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
     decided = F.when(F.col(label).isNotNull(), 1).otherwise(0)
     purity = (F.sum(blocked) + F.lit(SMOOTH / 2)) / (F.sum(decided) + F.lit(SMOOTH))
-    leaves = rows.groupBy(F.col("host").alias("leaf_host"), F.col("template").alias("leaf_template")).agg(purity.alias("purity"))
-    rows = rows.join(_side(leaves, broadcast_nodes), (F.col("host") == F.col("leaf_host")) & (F.col("template") == F.col("leaf_template")), "left")
+    leaves = rows.groupBy(F.col("host").alias(leaf_host), F.col("template").alias(leaf_template)).agg(purity.alias("purity"))
+    rows = rows.join(_side(leaves, broadcast_nodes), (F.col("host") == F.col(leaf_host)) & (F.col("template") == F.col(leaf_template)), "left")
     verdict = F.coalesce(F.col(label), F.when(F.col("purity") >= LEAST, "block").otherwise("allow"))
-    return rows.withColumn("verdict", verdict).drop("leaf_host", "leaf_template", label, parts)
+    return rows.withColumn("verdict", verdict).drop(leaf_host, leaf_template, label, parts)
