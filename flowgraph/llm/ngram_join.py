@@ -298,8 +298,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     lists = materialise(_shared(_prefixes(docs.select("text"), sketch, width, percent), percent), "lists")
     wanted = lists.select("sid").distinct().join(rows.groupBy("sid").agg(F.min("key").alias("wanted")), "sid").select("wanted", "sid")
     whole = materialise(_whole_sets(docs, wanted, width), "sets")
-    links, labelled = None, lists.withColumn("class", F.col("sid"))
+    links, labelled, classes = None, lists.withColumn("class", F.col("sid")), None
     for round_ in [*range(LEADER_ROUNDS), None]:
+        if classes is not None and labelled.isEmpty():
+            break  # all sets that share a list are of one class
         pairs = _pairs(labelled, percent, round_)
         if round_ is not None:  # one partner a set: the one met in most lists
             best = pairs.groupBy("b", "a").agg(F.count(F.lit(1)).alias("met"))
