@@ -5,11 +5,11 @@ enters the index lists of its prefix with its size and its position there: sets
 their prefixes, at positions that leave room for the overlap they need. The lists are kept in order of size, so that
 blocks that are too short, or stand too far back, are skipped without a look.
 
-Answers are derived from those of similar sets. In a leader round a set is compared with one set of its lists, the one
-it meets most often, and if the two link it takes over that set's class: what is in one class needs no comparison any
-more. Large groups of near copies so fold in as many comparisons as they have members. After a few rounds all pairs
-that are left, of different classes, are compared; first by parity bitmaps, which bound the difference of two sets
-from below, then exactly. No pair is dropped unseen, and no pairs within a class are made.
+Answers are derived from those of similar sets. In a leader round a set is compared with one set of its lists, of some
+that it meets there the nearest by parity bitmaps (which bound the difference of two sets from below), and if the two
+link it takes over that set's class: what is in one class needs no comparison any more. Large groups of near copies so
+fold in as many comparisons as they have members. After a few rounds all pairs that are left, of different classes, are
+compared, in their lists by parity bitmaps, then exactly. No pair is dropped unseen, and no pairs within a class are made.
 
 Cases: null text and text without words have the empty set, linked with nothing; a text of fewer words than an n-gram has
 is one n-gram; equal texts link; an empty table gives an empty result; rows of equal id and text count as one, and
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import components
@@ -35,6 +35,8 @@ SKETCH_BITS, SLICES = 20, 16
 #: Rows of ids that may be broadcast (16 bytes each); beyond, the join is by shuffle.
 BROADCAST_IDS = 250_000
 LEADER_ROUNDS = 3
+#: Entries of a list that a leader round looks back at, and partners of a set that it weighs.
+WINDOW, PARTNERS = 64, 8
 #: Members of one leader that one task compares.
 LEADER_SHARE = 512
 
@@ -57,7 +59,7 @@ def _profile(df: DataFrame, width: int) -> DataFrame:
         sketch = np.zeros(size, np.int64)
         for batch in batches:
             n, sid = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for _, hashes, counts in sets(batch.column(1).to_pylist(), width):
+            for _, hashes, counts in sets((x.as_py() for x in batch.column(1)), width):
                 sketch += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
                 n.append(counts)
                 sid.append(set_ids(hashes, counts))
@@ -96,7 +98,7 @@ def _prefixes(df: DataFrame, sketch: bytes, width: int, percent: int) -> DataFra
         common = np.frombuffer(zlib.decompress(shared.value), np.uint32)
         seen: set[int] = set()
         for batch in batches:
-            for _, hashes, counts in sets(batch.column(0).to_pylist(), width):
+            for _, hashes, counts in sets((x.as_py() for x in batch.column(0)), width):
                 who = np.repeat(np.arange(len(counts)), counts)
                 order = np.lexsort((hashes, common[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], who))
                 first = np.cumsum(counts) - counts
@@ -147,46 +149,34 @@ def _fits(n: int, pos: int, m: int, at: int, percent: int) -> bool:
     return n - pos >= need and m - at >= need
 
 
-def _pairs(entries: DataFrame, percent: int, leaders: int | None) -> DataFrame:
-    """Candidate pairs (b, a) of sets of different classes out of the lists (token, n, sid, pos, class). leaders: each entry
-    gets at most one partner, the smallest that fits or, in odd rounds, the nearest in size; None: every partner."""
+def _leaders(entries: DataFrame, percent: int, round_: int) -> DataFrame:
+    """For the sets of the lists (token, n, sid, pos, class) some partners of other classes that fit: (b, a). Each entry gets
+    two at most, the first of its list and one out of a bounded window, which differs from list to list and round to round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = None
-        window: list[tuple[int, int, int, int]] = []  # leader rounds: of each size, the first entries of two classes
-        classes: dict[int, list[tuple[int, int, int]]] = {}  # else all entries by class
-        start, out_b, out_a = 0, [], []
+        token, window, out_b, out_a = None, [], [], []
         for batch in batches:
             for t, n, sid, pos, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if t != token:
-                    token, window, classes, start = t, [], {}, 0
+                    token, window = t, []
                 least = -(-n * percent // 100)
-                if leaders is None:
-                    for other in list(classes):
-                        if other != own:
-                            if classes[other][-1][0] < least:  # a block that is too short
-                                del classes[other]
-                                continue
-                            for m, a, at in reversed(classes[other]):
-                                if m < least:
-                                    break
-                                if _fits(n, pos, m, at, percent):
-                                    out_b.append(sid)
-                                    out_a.append(a)
-                    classes.setdefault(own, []).append((n, sid, pos))
-                else:
-                    while start < len(window) and window[start][0] < least:
-                        start += 1
-                    tries = range(start, min(len(window), start + 8)) if leaders % 2 == 0 else range(len(window) - 1, max(start, len(window) - 8) - 1, -1)
-                    for i in tries:
+                while window and window[0][0] < least:  # a block that is too short
+                    window.pop(0)
+                draw = (sid * 0x9E3779B1 ^ t ^ round_ * 0x85EBCA6B) & 0xFFFFFFF
+                if window:
+                    found = set()
+                    for i in (0, *((draw + 7 * j) % len(window) for j in range(3))):
                         m, a, at, other = window[i]
-                        if other != own and _fits(n, pos, m, at, percent):
+                        if other != own and m >= least and a not in found and _fits(n, pos, m, at, percent):
+                            found.add(a)
                             out_b.append(sid)
                             out_a.append(a)
-                            break
-                    same = [x for x in window[-2:] if x[0] == n]
-                    if not same or (len(same) == 1 and same[0][3] != own):
-                        window.append((n, sid, pos, own))
+                            if len(found) == 2:
+                                break
+                if len(window) < WINDOW:
+                    window.append((n, sid, pos, own))
+                else:
+                    window[1 + draw % (WINDOW - 1)] = (n, sid, pos, own)
                 if len(out_b) >= 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_a, pa.int64())], names=["b", "a"])
                     out_b, out_a = [], []
@@ -194,7 +184,47 @@ def _pairs(entries: DataFrame, percent: int, leaders: int | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_a, pa.int64())], names=["b", "a"])
 
     ordered = entries.repartition("token").sortWithinPartitions("token", "n", "sid").select("token", "n", "sid", "pos", "class")
-    return ordered.mapInArrow(run, "b long, a long")
+    met = ordered.mapInArrow(run, "b long, a long").groupBy("b", "a").agg(F.count(F.lit(1)).alias("met"))
+    place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("met"), "a"))
+    return met.withColumn("place", place).where(F.col("place") <= PARTNERS).select("b", "a")
+
+
+def _all_pairs(entries: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """All pairs (b, a) of sets of different classes that share a list, fit each other there, and whose parity bitmaps allow
+    the similarity. The bitmaps travel with the entries, so that no other pair leaves its list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, classes, out_b, out_a = None, {}, [], []
+        for batch in batches:
+            for t, n, sid, pos, own, parity in zip(*(c.to_pylist() for c in batch.columns)):
+                if t != token:
+                    token, classes = t, {}
+                least = -(-n * percent // 100)
+                bits, size = int.from_bytes(parity, "little"), len(parity)
+                for other in list(classes):
+                    if other == own:
+                        continue
+                    if classes[other][-1][0] < least:  # a block that is too short
+                        del classes[other]
+                        continue
+                    for m, a, at, others, length in reversed(classes[other]):
+                        if m < least:
+                            break
+                        need = -(-(n + m) * percent // (100 + percent))
+                        if n - pos >= need and m - at >= need:
+                            far = (bits ^ others).bit_count() if size == length else _difference(bits, size, others, length)
+                            if far <= n + m - 2 * need:
+                                out_b.append(sid)
+                                out_a.append(a)
+                classes.setdefault(own, []).append((n, sid, pos, bits, size))
+                if len(out_b) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_a, pa.int64())], names=["b", "a"])
+                    out_b, out_a = [], []
+        if out_b:
+            yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_a, pa.int64())], names=["b", "a"])
+
+    ordered = entries.join(whole.select("sid", "parity"), "sid").repartition("token").sortWithinPartitions("token", "n", "sid")
+    return ordered.select("token", "n", "sid", "pos", "class", "parity").mapInArrow(run, "b long, a long").distinct()
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -205,7 +235,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted_sid = batch.column(0).to_numpy()
-            for first, hashes, counts in sets(batch.column(1).to_pylist(), width):
+            for first, hashes, counts in sets((x.as_py() for x in batch.column(1)), width):
                 sid, ends = set_ids(hashes, counts), np.cumsum(counts)
                 out: tuple[list, list, list, list] = ([], [], [], [])
                 for i in np.flatnonzero(sid == wanted_sid[first : first + len(counts)]):
@@ -220,10 +250,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "sid long, n int, hashes binary, parity binary")
 
 
-def _difference(x: bytes, y: bytes) -> int:
-    """A lower bound of the symmetric difference, from two parity bitmaps; the longer one is folded."""
-    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
-    n, m = len(x), len(y)
+def _difference(a: int, n: int, b: int, m: int) -> int:
+    """A lower bound of the symmetric difference, from two parity bitmaps of n and m bytes; the longer one is folded."""
     while n > m:
         n //= 2
         a = (a >> 8 * n) ^ (a & ((1 << 8 * n) - 1))
@@ -233,19 +261,20 @@ def _difference(x: bytes, y: bytes) -> int:
     return (a ^ b).bit_count()
 
 
-def _plausible(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose parity bitmaps allow the similarity."""
+def _nearest(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Of each set's partners the one that looks nearest by parity bitmaps, if they allow the similarity."""
     left = whole.select(F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("parity").alias("bp"))
     right = whole.select(F.col("sid").alias("a"), F.col("n").alias("an"), F.col("parity").alias("ap"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, bn, bp, a, an, ap = (c.to_pylist() for c in batch.columns)
-            keep = [i for i in range(len(b)) if _difference(bp[i], ap[i]) <= bn[i] + an[i] - 2 * _overlap(bn[i], an[i], percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([b[i] for i in keep], pa.int64()), pa.array([a[i] for i in keep], pa.int64())], names=["b", "a"])
+            far = [_difference(int.from_bytes(x, "little"), len(x), int.from_bytes(y, "little"), len(y)) for x, y in zip(bp, ap)]
+            keep = [i for i, d in enumerate(far) if d <= bn[i] + an[i] - 2 * _overlap(bn[i], an[i], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (b, a, far)], names=["b", "a", "far"])
 
-    joined = pairs.join(left, "b").join(right, "a").select("b", "bn", "bp", "a", "an", "ap")
-    return joined.mapInArrow(run, "b long, a long")
+    joined = pairs.join(left, "b").join(right, "a").select("b", "bn", "bp", "a", "an", "ap").mapInArrow(run, "b long, a long, far long")
+    return joined.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
 
 
 def _links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -302,13 +331,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     for round_ in [*range(LEADER_ROUNDS), None]:
         if classes is not None and labelled.isEmpty():
             break  # all sets that share a list are of one class
-        pairs = _pairs(labelled, percent, round_)
-        if round_ is not None:  # one partner a set: the one met in most lists
-            best = pairs.groupBy("b", "a").agg(F.count(F.lit(1)).alias("met"))
-            pairs = best.groupBy("b").agg(F.max(F.struct("met", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
+        if round_ is not None:
+            pairs = _nearest(_leaders(labelled, percent, round_), whole, percent)
         else:
-            pairs = pairs.distinct()
-        pairs = materialise(_plausible(pairs, whole, percent), "pairs")
+            pairs = _all_pairs(labelled, whole, percent)
+        pairs = materialise(pairs, "pairs")
         found = materialise(_links(pairs, whole, percent), "links")
         links = found if links is None else links.union(found)
         classes = materialise(components(links, "b", "a"), "classes")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Bytes of text that are worked on at once (one longer text is worked on alone).
-HELD = 1 << 21
+HELD = 1 << 20
 _U = np.uint64
 
 
@@ -33,7 +33,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def _lots(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def _lots(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     first, lot, size = 0, [], 0
     for i, text in enumerate(texts):
         lot.append((text or "").encode())
@@ -79,7 +79,7 @@ def _sets(lot: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], np.bincount(who[new], minlength=len(lot))
 
 
-def sets(texts: list[str | None], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def sets(texts: Iterable[str | None], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of the first text, distinct hashes of each text in ascending order end to end, their counts), lot by lot."""
     with np.errstate(over="ignore"):
         for first, lot in _lots(texts):

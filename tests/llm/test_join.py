@@ -118,7 +118,8 @@ def test_parity_bounds_the_difference():
     for n, m, common in ((10, 12, 9), (100, 130, 90), (1000, 900, 10), (40, 300, 40)):
         x = draw.integers(0, 2**63, n + m, dtype=np.uint64)
         a, b = x[:n], np.concatenate([x[:common], x[n : n + m - common]])
-        assert ngram_join._difference(bitmap(a), bitmap(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
+        x, y = bitmap(a), bitmap(b)
+        assert ngram_join._difference(int.from_bytes(x, "little"), len(x), int.from_bytes(y, "little"), len(y)) <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 def test_components(spark):
