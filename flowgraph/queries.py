@@ -233,18 +233,19 @@ def _chain(spark: SparkSession, rounds: int = 10):
     return pagerank.pagerank(generators.chain_graph(spark, K), generators.chain_ranks(spark, K), rounds)
 
 
-ROUNDED = F.round("rank", 12).alias("rank")
+def rounded():
+    return F.round("rank", 12).alias("rank")
 
 
 @query(f'{_chain_sql(10)} SELECT node, round("rank", 12) AS "rank" FROM r10', "pagerank")
 def _pagerank(spark, sf_dir):
-    return _chain(spark)[0].select("node", ROUNDED)
+    return _chain(spark)[0].select("node", rounded())
 
 
 @query(f'{_chain_sql(1)} SELECT node, round("rank", 12) AS "rank" FROM r1')
 def pagerank_step(spark, sf_dir):
     edges = pagerank.with_fan(generators.chain_graph(spark, K))
-    return pagerank.step(edges, generators.chain_ranks(spark, K), K * K).select("node", ROUNDED)
+    return pagerank.step(edges, generators.chain_ranks(spark, K), K * K).select("node", rounded())
 
 
 @query(f'{_chain_sql(10)} ' + " UNION ALL ".join(f'SELECT CAST({i} AS INTEGER) AS iteration, round(sum("rank"), 9) AS mass FROM r{i} WHERE node <> 0' for i in range(1, 11)))
@@ -254,7 +255,7 @@ def pagerank_mass(spark, sf_dir):
 
 @query(f'{_chain_sql(10)} SELECT node, round("rank", 12) AS "rank" FROM r10 WHERE node <= 100')
 def pagerank_first101(spark, sf_dir):
-    return pagerank.first(_chain(spark)[0]).select("node", ROUNDED)
+    return pagerank.first(_chain(spark)[0]).select("node", rounded())
 
 
 @query(

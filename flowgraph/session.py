@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution, ANSI rules and UTC; other settings come from the cluster or as keywords (_ for .)."""
+def session(master: str | None = None, shuffle_partitions: int | None = None, conf: dict[str, str] | None = None) -> SparkSession:
+    """A session with adaptive execution, ANSI rules and UTC; other settings come from the cluster, or from conf."""
     builder = SparkSession.builder.appName("flowgraph")
     if master:
         builder = builder.master(master)
@@ -18,4 +18,4 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    return builder.config(map=settings | {k.replace("_", "."): v for k, v in conf.items()}).getOrCreate()
+    return builder.config(map=settings | (conf or {})).getOrCreate()
