@@ -1,11 +1,10 @@
-"""Reading the input tables, and cutting lineage in the cluster's shared folder."""
+"""Reading the input tables, giving executors the package, and names of columns."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable
 from pathlib import Path
@@ -13,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoint import materialise  # noqa: F401  (the operators take it from here)
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,27 +39,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, and only where that is unset (a
-    local session, as in tests) a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="flowgraph-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage ends there, and any executor may be lost later."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unique_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have, whatever extra columns it carries (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

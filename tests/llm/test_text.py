@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from flowgraph.llm import bpe, license_scan, mixing, q_bpe, q_license_scan, q_mixing, q_sharding, q_url_filter, sharding, url_filter
+from flowgraph.llm import bpe, bpe_native, license_scan, mixing, q_bpe, q_license_scan, q_mixing, q_sharding, q_url_filter, sharding, url_filter
 
 DATA = bpe.read_ranks(q_bpe.RANKS)
 RANKS = bpe.parse_ranks(DATA)
@@ -47,6 +47,13 @@ def test_memo_bounds_do_not_change_ids(monkeypatch):
         assert encoder([text])[0].tolist() == REAL.encode_ordinary(text)
 
 
+def test_higher_order_functions_give_the_same_ids(spark):
+    words = [None, "", "a", " the", "unbelievable", "Überraschung", " 12345", "日本語", "abababababab", "xyzzy"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for word, ids in df.select("w", bpe_native.word_ids(F.col("w"), RANKS)).collect():
+        assert ids == (None if word is None else ENCODER.merges.fold([word.encode()])[0].tolist())
+
+
 def test_digests(spark):
     found = {r["doc_id"]: r for r in q_bpe.digests(docs(spark, TEXTS)).collect()}
     for i, text in enumerate(TEXTS):
