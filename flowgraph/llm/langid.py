@@ -43,7 +43,7 @@ def _spans(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
     """The texts as lower-cased bytes, in lots of bounded size; a long text may come in several spans."""
     who, lot, size = [], [], 0
     for i, text in enumerate(texts):
-        data = b" " + (text or "").lower().encode() + b" "
+        data = b" " + (text or "").lower().encode() + b"  "
         for at in range(0, max(1, len(data) - 2), HELD_BYTES):
             span = data[at : at + HELD_BYTES + 2]  # two bytes over, for the n-grams that begin in this span
             who.append(i)
@@ -67,7 +67,9 @@ def _count(lot: list[bytes]) -> np.ndarray:
     for n, factor in ((2, 0x9E3779B1), (3, 0x85EBCA6B)):
         code = code[:-1] * np.uint32(256) + data[n - 1 :]
         keep = np.ones(len(code), bool)
-        keep[np.concatenate([ends[:-1] - k for k in range(1, n)])] = False  # n-grams that would reach into the next span
+        for back in (1, 2):  # the last two bytes of a span begin no n-gram: they are blanks, or begin one in the next span
+            at = ends - back
+            keep[at[at < len(code)]] = False
         slot = (code * np.uint32(factor) >> np.uint32(32 - DIMENSIONS.bit_length() + 1)).astype(np.int64) + first[: len(code)]
         out += np.bincount(slot[keep], minlength=len(out))
     return out.reshape(len(lot), DIMENSIONS)

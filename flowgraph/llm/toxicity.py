@@ -148,7 +148,7 @@ class Weights(dict):
 
 
 def sentence_sums(text: str, weights: Weights, bias: float) -> np.ndarray:
-    """The logits of the sentences that have words; a word counts once a sentence only if it is repeated side by side with itself."""
+    """The logits of the sentences that have words."""
     tokens = TOKEN.findall(text.lower())
     x = np.fromiter(map(weights.__getitem__, tokens), np.float64, len(tokens))
     ends = np.isnan(x)
@@ -158,6 +158,11 @@ def sentence_sums(text: str, weights: Weights, bias: float) -> np.ndarray:
     return (bias + np.add.reduceat(x, starts))[words > 0]
 
 
+def noisy_or(sums: np.ndarray, bias: float) -> float:
+    """The document's score. A sentence without any telling word scores nothing, so that length alone never does."""
+    return min(1.0, max(0.0, float(-np.expm1((np.logaddexp(0, bias) - np.logaddexp(0, sums)).sum()))))
+
+
 def score(df: DataFrame, weights: dict[str, float], text: str = "text", names: tuple[str, str] = ("score", "offending"), threshold: float = THRESHOLD) -> DataFrame:
     """df with the score (0 to 1) of each whole text, and of texts that reach the threshold the sentences of that score
     themselves, or else the one of the highest score, as spans (start, end in characters, score)."""
@@ -184,8 +189,8 @@ def score(df: DataFrame, weights: dict[str, float], text: str = "text", names: t
         for batch in batches:
             scores, where = [], []
             for value in batch.column(at).to_pylist():
-                p = float(-np.expm1(-np.logaddexp(0, sentence_sums(value, known, bias)).sum())) if value else 0.0
-                scores.append(min(1.0, max(0.0, p)))
+                p = noisy_or(sentence_sums(value, known, bias), bias) if value else 0.0
+                scores.append(p)
                 where.append(spans(value, known, bias) if value and p >= threshold else [])
             more = [pa.array(scores, pa.float64()), pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
