@@ -36,7 +36,7 @@ SKETCH_BITS, SLICES = 20, 16
 BROADCAST_IDS = 250_000
 LEADER_ROUNDS = 3
 #: Entries of a list that a leader round looks back at, and partners of a set that it weighs.
-WINDOW, PARTNERS = 64, 8
+WINDOW, PARTNERS = 64, 3
 #: Members of one leader that one task compares.
 LEADER_SHARE = 512
 
