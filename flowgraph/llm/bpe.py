@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -27,7 +28,7 @@ from .tables import without
 
 #: Most pieces that a task remembers, and most characters of them. Both bound memory only; results don't depend on them.
 MEMO_PIECES, MEMO_LENGTH = 1 << 17, 1 << 22
-#: Characters of text, or ids, that are worked on at once (one longer text is held alone).
+#: Bytes of text, or ids, that are worked on at once (one longer text is held alone).
 HELD = 1 << 20
 #: Pieces of more bytes than this are merged alone, with a heap: n log n instead of n squared.
 LONG_PIECE = 96
@@ -204,28 +205,29 @@ class Encoder:
         return gather(flat, starts[words], counts[words]), before[ends] - before[ends - sizes]
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with the ids of each whole text as an array<int>; no special tokens."""
+def lots(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of rows of about HELD in size together; a batch of no rows is one slice."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // HELD)) + 1
+    for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        yield batch.slice(first, last - first)
+
+
+def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
+    """df with the ids of each whole text as an array<int>; no special tokens. keep_text: whether the text goes on with them."""
     df = without(df, [ids], text)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     at = df.columns.index(text)
+    kept = [i for i in range(len(df.columns)) if keep_text or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(parse_ranks(shared.value), pattern)
         for batch in batches:
-            found, held, size = [], [], 0
-            for value in batch.column(at):
-                held.append(value.as_py() or "")
-                size += len(held[-1])
-                if size >= HELD:
-                    found.append(encoder(held))
-                    held, size = [], 0
-            found.append(encoder(held))
-            ends = np.cumsum([0, *chain.from_iterable(counts.tolist() for _, counts in found)], dtype=np.int32)
-            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([flat for flat, _ in found])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids])
+            for lot in lots(batch, pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy()):
+                flat, counts = encoder([value.as_py() or "" for value in lot.column(at)])
+                column = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts], dtype=np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(lot.column(i) for i in kept), column], names=[*(lot.schema.names[i] for i in kept), ids])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def pieces_of(column: pa.ListArray, n: int, start: np.ndarray, length: np.ndarray, store: np.ndarray) -> list[bytes | None]:
@@ -251,11 +253,8 @@ def decode(df: DataFrame, ranks: bytes, ids: str = "ids", decoded: str = "decode
         start = np.concatenate([[0], np.cumsum(length)[:-1]])
         store = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(n)), np.uint8)
         for batch in batches:
-            column, rows = batch.column(at), []
-            lot = np.cumsum(column.value_lengths().fill_null(0).to_numpy()) // HELD
-            for part in np.split(np.arange(len(column)), np.flatnonzero(np.diff(lot)) + 1):
-                if len(part):
-                    rows += pieces_of(column.slice(part[0], len(part)), n, start, length, store)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, decoded])
+            for lot in lots(batch, 4 * batch.column(at).value_lengths().fill_null(0).to_numpy()):  # a piece has some four bytes
+                rows = pieces_of(lot.column(at), n, start, length, store)
+                yield pa.RecordBatch.from_arrays([*lot.columns, pa.array(rows, pa.binary())], names=[*lot.schema.names, decoded])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())]))
