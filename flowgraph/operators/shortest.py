@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.checkpoint import materialise
+from ..plans import iterate
+from ..plans.checkpoint import materialise, partitioned
 from .combine import vertices
 
 
@@ -29,13 +30,22 @@ def distances(edges: DataFrame, sources: list[int], max_iter: int | None = None)
     rows found in the last round are relaxed in the next one."""
     edges = materialise(edges.select("src", "dst").distinct(), "edges")
     frontier = known = materialise(start(edges, sources), "distances")
-    round_ = 0
-    while max_iter is None or round_ < max_iter:
-        round_ += 1
-        frontier = materialise(relax(edges, frontier).join(known, ["source", "node"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier)
+    edges = partitioned(edges, "src")
+
+    def hop(now: DataFrame, _: int) -> DataFrame:
+        return relax(edges, now).join(known, ["source", "node"], "left_anti")
+
+    def done(now: DataFrame, _: int) -> bool:
+        nonlocal known
+        if now.isEmpty():
+            return True
+        known = known.unionByName(now)
+        return False
+
+    try:
+        iterate.run(frontier, hop, max_iter, done)
+    finally:
+        edges.unpersist()
     return known
 
 

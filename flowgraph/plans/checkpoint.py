@@ -33,6 +33,13 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitioned(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by its keys once and kept: joins on the keys in a loop then shuffle their other side only. Parts that are
+    lost with an executor are made again from df. Call unpersist() after the loop."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).persist()
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows (counted no further); else as it is, to be shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
