@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.checkpoint import broadcast_if_small
+from ..plans.checkpoint import broadcast_if_small, materialise
 
 HINTS = {"shuffle": "merge", "shuffle_hash": "shuffle_hash"}
 STRATEGIES = ("shuffle", "shuffle_hash", "broadcast", "countproduct")
@@ -66,7 +66,7 @@ def triangles(edges: DataFrame, strategy: str = "shuffle", exclude_return: bool
         back = weighted(edges, distinct).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
         closed = paths.join(back, ["src", "dst"]).agg(F.coalesce(F.sum(F.col("paths") * F.col("w")), F.lit(0)).cast("bigint").alias("closed_paths"))
         return closed.withColumn("triangles", F.expr("closed_paths div 3"))
-    w = weighted(edges, distinct)
+    w = materialise(weighted(edges, distinct), "weights")  # read four times
     proper = w.where(F.col("src") != F.col("dst"))
     first = proper.where(F.col("src") < F.col("dst")).select(F.col("src").alias("a"), F.col("dst").alias("m"), F.col("w").alias("w1"))
     second = _other(proper.select(F.col("src").alias("m"), F.col("dst").alias("b"), F.col("w").alias("w2")), strategy)

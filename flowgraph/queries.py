@@ -97,6 +97,14 @@ def gen_sparse(spark, sf_dir):
     return generators.sparse_matrix(spark, 500, 400, 0.01, seed=7)
 
 
+@query()
+def gen_product(spark, sf_dir):
+    """Two generated matrices and their product."""
+    a = generators.sparse_matrix(spark, 300, 200, 0.02, seed=7).toDF("i", "k", "v")
+    b = generators.sparse_matrix(spark, 200, 250, 0.02, seed=8).toDF("k", "j", "v")
+    return matrix.multiply(a, b)
+
+
 @query()
 def gen_triples(spark, sf_dir):
     return generators.random_triples(spark, 500, 400, 0.01, seed=7)

@@ -75,6 +75,16 @@ def test_generators(spark):
     assert sorted(map(tuple, generators.chain_graph(spark, 2).collect())) == [(1, 2), (2, 0), (3, 4), (4, 0)]
 
 
+def test_generated_product(spark):
+    a, b = (generators.sparse_matrix(spark, 20, 20, 0.2, seed=s).collect() for s in (1, 2))
+    expected = {}
+    for i, k, v in a:
+        for k2, j, w in b:
+            if k == k2:
+                expected[i, j] = expected.get((i, j), 0) + v * w
+    assert product(spark, [tuple(r) for r in a], [tuple(r) for r in b]) == expected
+
+
 def test_node_json(spark):
     text = '{"nodeId":1,"adjList":[2],"isObj":false,"isActive":false,"kMap":{"1":0}}'
     states = readers.node_states(spark.createDataFrame([(text,)], "line string"))
