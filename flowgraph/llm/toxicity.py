@@ -120,7 +120,7 @@ def fit(
     drawn = marked.where(draw < part).withColumn("place", place).where(F.col("place") <= bound).drop("place")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), "key")
     # One text for each id drawn, so that repeated rows don't undo the bound.
-    rows = rows.groupBy("key").agg(F.max_by("label", "text").alias("label"), F.max("text").alias("text"))
+    rows = rows.groupBy("key").agg(F.max("label").alias("label"), F.max("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [f for f in batches if len(f)]
