@@ -19,6 +19,7 @@ rows of null id take part (their component is the smallest id of their class, nu
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,29 +195,35 @@ def _all_pairs(entries: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     the similarity. The bitmaps travel with the entries, so that no other pair leaves its list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, classes, out_b, out_a = None, {}, [], []
+        token, out_b, out_a = None, [], []
+        classes: dict[int, tuple[list, list]] = {}  # the list's entries that a later one can still fit: sizes, and the rest
         for batch in batches:
             for t, n, sid, pos, own, parity in zip(*(c.to_pylist() for c in batch.columns)):
                 if t != token:
                     token, classes = t, {}
                 least = -(-n * percent // 100)
-                bits, size = int.from_bytes(parity, "little"), len(parity)
-                for other in list(classes):
+                # The largest partner that leaves room at this position: n - pos >= percent * (n + m) / (100 + percent).
+                most = (n - pos) * (100 + percent) // percent - n
+                bits, size, short = int.from_bytes(parity, "little"), len(parity), []
+                for other, (sizes, entries) in classes.items():
                     if other == own:
                         continue
-                    if classes[other][-1][0] < least:  # a block that is too short
-                        del classes[other]
+                    if sizes[-1] < least:  # a block that is too short, for all that come
+                        short.append(other)
                         continue
-                    for m, a, at, others, length in reversed(classes[other]):
-                        if m < least:
-                            break
+                    for i in range(bisect_left(sizes, least), bisect_right(sizes, most)):
+                        m, (a, spare, others) = sizes[i], entries[i]
                         need = -(-(n + m) * percent // (100 + percent))
-                        if n - pos >= need and m - at >= need:
-                            far = (bits ^ others).bit_count() if size == length else _difference(bits, size, others, length)
-                            if far <= n + m - 2 * need:
+                        if spare >= need and n - pos >= need:
+                            if _difference(bits, size, int.from_bytes(others, "little"), len(others)) <= n + m - 2 * need:
                                 out_b.append(sid)
                                 out_a.append(a)
-                classes.setdefault(own, []).append((n, sid, pos, bits, size))
+                for other in short:
+                    del classes[other]
+                if n - pos >= -(-2 * n * percent // (100 + percent)):  # else it stands too far back for any set of its size or more
+                    sizes, entries = classes.setdefault(own, ([], []))
+                    sizes.append(n)
+                    entries.append((sid, n - pos, parity))
                 if len(out_b) >= 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_a, pa.int64())], names=["b", "a"])
                     out_b, out_a = [], []

@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 
 from ..plans.checkpoint import materialise  # noqa: F401  (the operators take it from here)
 
+#: Bytes of an Arrow batch.
+ARROW_BYTES = 8 << 20
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a session: functions that run there import it."""
+    """Give the executors this package, once a session: functions that run there import it. Arrow batches are held small, as
+    a batch of texts is in memory several times, in the JVM and in Python."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if any(Path(x).name == "flowgraph.zip" for x in context._python_includes):
         return
     root = Path(__file__).resolve().parents[1]
