@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from .tables import without
 
 #: Most pieces that a task remembers, and most characters of them. Both bound memory only; results don't depend on them.
-MEMO_PIECES, MEMO_LENGTH = 1 << 17, 1 << 22
+MEMO_PIECES, MEMO_LENGTH = 1 << 16, 1 << 21
 #: Bytes of text, or ids, that are worked on at once (one longer text is held alone).
-HELD = 1 << 20
+HELD = 1 << 19
 #: Pieces of more bytes than this are merged alone, with a heap: n log n instead of n squared.
 LONG_PIECE = 96
 NONE = np.iinfo(np.int32).max
@@ -212,13 +212,7 @@ def lots(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first, last - first)
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
-    """df with the ids of each whole text as an array<int>; no special tokens. keep_text: whether the text goes on with them."""
-    df = without(df, [ids], text)
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
-    at = df.columns.index(text)
-    kept = [i for i in range(len(df.columns)) if keep_text or i != at]
-
+def _encoding(shared, pattern: str, at: int, kept: list[int], ids: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(parse_ranks(shared.value), pattern)
         for batch in batches:
@@ -227,7 +221,22 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: s
                 column = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts], dtype=np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(lot.column(i) for i in kept), column], names=[*(lot.schema.names[i] for i in kept), ids])
 
-    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return run
+
+
+def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", keep_text: bool = True, decoded: str | None = None) -> DataFrame:
+    """df with the ids of each whole text as an array<int>; no special tokens. keep_text: whether the text goes on with them.
+    decoded: the name of one more column, the bytes that the ids decode to, made by the same tasks."""
+    df = without(df, [ids, decoded] if decoded else [ids], text)
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    at = df.columns.index(text)
+    kept = [i for i in range(len(df.columns)) if keep_text or i != at]
+    fields = [*(df.schema.fields[i] for i in kept), T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    to_ids = _encoding(shared, pattern, at, kept, ids)
+    if decoded is None:
+        return df.mapInArrow(to_ids, T.StructType(fields))
+    to_bytes = _decoding(shared, len(kept), decoded)
+    return df.mapInArrow(lambda batches: to_bytes(to_ids(batches)), T.StructType([*fields, T.StructField(decoded, T.BinaryType())]))
 
 
 def pieces_of(column: pa.ListArray, n: int, start: np.ndarray, length: np.ndarray, store: np.ndarray) -> list[bytes | None]:
@@ -240,21 +249,25 @@ def pieces_of(column: pa.ListArray, n: int, start: np.ndarray, length: np.ndarra
     return [data[a:b] if whole else None for a, b, whole in zip(size[:-1], size[1:], column.is_valid().to_pylist())]
 
 
-def decode(df: DataFrame, ranks: bytes, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """df with the bytes of each list of ids, as binary (a cut text need not be UTF-8)."""
-    df = without(df, [decoded], ids)
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
-    at = df.columns.index(ids)
-
+def _decoding(shared, at: int, decoded: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = {rank: piece for piece, rank in parse_ranks(shared.value).items()}
         n = max(pieces, default=-1) + 1
         length = np.array([len(pieces.get(i, b"")) for i in range(n)] + [0], np.int64)
         start = np.concatenate([[0], np.cumsum(length)[:-1]])
         store = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(n)), np.uint8)
+        del pieces
         for batch in batches:
             for lot in lots(batch, 4 * batch.column(at).value_lengths().fill_null(0).to_numpy()):  # a piece has some four bytes
                 rows = pieces_of(lot.column(at), n, start, length, store)
                 yield pa.RecordBatch.from_arrays([*lot.columns, pa.array(rows, pa.binary())], names=[*lot.schema.names, decoded])
 
+    return run
+
+
+def decode(df: DataFrame, ranks: bytes, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df with the bytes of each list of ids, as binary (a cut text need not be UTF-8)."""
+    df = without(df, [decoded], ids)
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    run = _decoding(shared, df.columns.index(ids), decoded)
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())]))

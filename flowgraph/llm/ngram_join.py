@@ -108,7 +108,7 @@ def _prefixes(df: DataFrame, sketch: bytes, width: int, percent: int) -> DataFra
                 new = np.zeros(len(counts), bool)
                 new[np.unique(sid, return_index=True)[1]] = True
                 new &= np.array([x not in seen for x in sid.tolist()], bool)
-                if len(seen) < 1 << 18:  # copies met again by this task are left out; those of other tasks, when lists are sorted
+                if len(seen) < 1 << 16:  # copies met again by this task are left out; those of other tasks, when lists are sorted
                     seen.update(sid[new].tolist())
                 keep = np.flatnonzero((place < (counts - _least(counts, percent) + 1)[who]) & new[who])
                 for at in np.array_split(keep, 1 + len(keep) // 100_000):

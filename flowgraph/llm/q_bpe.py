@@ -15,8 +15,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def digests(df: DataFrame, ranks_path: str = RANKS) -> DataFrame:
     """df (doc_id, text) as doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ranks = bpe.read_ranks(ranks_path)
-    coded = bpe.encode(df.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False)
-    return bpe.decode(coded, ranks).select(
+    coded = bpe.encode(df.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False, decoded="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

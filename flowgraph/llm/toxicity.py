@@ -33,7 +33,7 @@ POSITIVES, NEGATIVES = 2000, 4000
 THRESHOLD = 0.3
 ROUNDS = 300
 #: Most words whose weight a task remembers; bounds memory only.
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 16
 #: Words, or one of the marks that end a sentence.
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
