@@ -1,7 +1,9 @@
 """BPE, mixing, sharding, license scans and url filters on small and awkward inputs."""
 
 import hashlib
+import textwrap
 import zlib
+from array import array
 
 import public_tokenizers
 import pytest
@@ -193,3 +195,35 @@ def test_size_bounds_lose_no_license():
             best = max((2 * (license_scan.bigrams(words) & b).total() / (cut - 1 + b.total()), n) for n, b in matcher.bags.items())
             found = matcher(words)
             assert (found is None) == (best[0] < 0.8) and (found is None or found[1] == best[0])
+
+
+def test_notices_that_are_no_unit(spark):
+    """Wrapped over lines of a longer text, inside a longer line, and next to one another."""
+    wrapped = {n: "\n".join("# " + x for x in textwrap.wrap(license_scan.TEMPLATES[n], 70)) for n in ("MIT-text", "ISC", "GPL-3.0-header", "Apache-2.0-header")}
+    code = "\ndef f(x): return x of the thing" * 60
+    texts = [f"import os\n{x}{code}" for x in wrapped.values()]
+    texts += ["This software is released under the MIT License.", f"{wrapped['MIT-text']}\n{wrapped['ISC']}{code}", f"{code}\n  released under\nthe MIT\nlicense{code}", code]
+    found = [[(m["line"], m["license"], m["score"]) for m in r["licenses"]] for r in license_scan.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert found[:3] == [[(2, n, 1.0)] for n in ("MIT-text", "ISC", "GPL-3.0-header")]
+    assert [x[:2] for x in found[3]] == [(2, "Apache-2.0"), (2, "Apache-2.0-header")] and found[3][1][2] == 1  # a line of it is a match of its own
+    assert found[4] == [(1, "MIT", 1.0)]
+    assert found[5] == [(1, "MIT-text", 1.0), (2 + wrapped["MIT-text"].count("\n"), "ISC", 1.0)]
+    assert found[6] == [(62, "MIT", 1.0)] and found[7] == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcdex"), max_size=40))
+def test_windows_by_brute_force(found):
+    """Each window told has its score, they are apart, and no window of at least the least score is apart from all."""
+    templates = {"one": "a b c d a b", "two": "c d e", "three": "a b c d e a b c d e"}
+    windows = license_scan.Windows(templates, 0.8)
+    told = windows(array("I", [windows.ids.get(w, 0) for w in found]), [])
+    score = {}
+    for name, text in templates.items():
+        bag = license_scan.bigrams(license_scan.words(text))
+        for i in range(len(found)):
+            for j in range(i + 2, len(found) + 1):
+                score[i, j, name] = 2 * (license_scan.bigrams(found[i:j]) & bag).total() / (j - i - 1 + bag.total())
+    assert all(w.score == score[w.first, w.end, w.license] >= 0.8 for w in told)
+    assert all(a.end <= b.first for a, b in zip(told, told[1:]))
+    assert all(any(i < w.end and w.first < j for w in told) for (i, j, _), x in score.items() if x >= 0.8)
