@@ -3,7 +3,10 @@
 A text is a vector of hashed character n-grams (byte pairs and triples of its lower-cased UTF-8; ASCII digits, signs and
 white space count as blanks), weighted sqrt(tf) * idf and scaled to length 1. Every learned language has a few centroids,
 found by spherical k-means, and the language of the centroid of largest cosine is the prediction. A text is rejected
-if its cosine is below `slack` times that which all but a hundredth of the language's own sample reach.
+if its cosine is below `slack` times the usual one of held-out texts of the language and of its length (in distinct
+n-grams: short texts have small cosines, and repeats make none longer). The usual cosine is the median of each of up to
+eight classes of length, between them by the logarithm of the length, and below the shortest by its square root. Held out
+is each quarter of the sample in turn; a sample of fewer than four texts is compared with its own centroids.
 
 What is learned from: document frequencies from every labelled row given; centroids from a sample of at most `sample`
 rows a language (the bound is a parameter), chosen by a hash of the key. Broadcast are the idf vector and the centroids:
@@ -34,6 +37,8 @@ UNDETERMINED = "und"
 HELD_TEXTS, HELD_BYTES = 256, 1 << 21
 #: Defaults of fit().
 SAMPLE, CLUSTERS, SLACK = 400, 3, 0.3
+#: Parts of a sample that are held out in turn; classes of length, and the texts that one needs.
+FOLDS, CLASSES, CLASS_TEXTS = 4, 8, 20
 
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[[c for c in range(128) if not chr(c).isalpha()]] = 32
@@ -113,12 +118,31 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return centres.astype(np.float32)
 
 
+def usual(vectors: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes, rising, and the usual cosine at each of texts that k centroids have not seen."""
+    if len(vectors) < FOLDS:
+        cosines = (vectors @ cluster(vectors, k).T).max(axis=1)
+    else:
+        cosines, fold = np.zeros(len(vectors)), np.arange(len(vectors)) % FOLDS
+        for i in range(FOLDS):
+            cosines[fold == i] = (vectors[fold == i] @ cluster(vectors[fold != i], k).T).max(axis=1)
+    classes = np.array_split(np.argsort(sizes, kind="stable"), max(1, min(CLASSES, len(sizes) // CLASS_TEXTS)))
+    at, first = np.unique([np.median(sizes[c]) for c in classes], return_index=True)
+    return at, np.maximum.accumulate(np.array([np.median(cosines[c]) for c in classes])[first])
+
+
 @dataclass
 class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
-    least: np.ndarray  # of each centroid: cosines below are rejected
+    usual: list[tuple[np.ndarray, np.ndarray]]  # of each centroid: sizes and usual cosines
     idf: np.ndarray
+    slack: float
+
+    def least(self, centroid: int, size: float) -> float:
+        """Cosines below are rejected in a text of so many distinct n-grams."""
+        sizes, cosines = self.usual[centroid]
+        return self.slack * float(np.interp(np.log(size), np.log(sizes), cosines)) * min(1.0, size / sizes[0]) ** 0.5
 
 
 def fit(
@@ -150,15 +174,18 @@ def fit(
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place")
-        vectors = np.concatenate([weighted(counts, idf) for _, counts in counted(group["text"].tolist())])
-        vectors = vectors[np.linalg.norm(vectors, axis=1) > 0]
-        centres = cluster(vectors, clusters)
-        least = float(slack * np.quantile((vectors @ centres.T).max(axis=1), 0.01))
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "least": least})
+        found = [(weighted(counts, idf), (counts > 0).sum(axis=1)) for _, counts in counted(group["text"].tolist())]
+        vectors, sizes = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        kept = np.linalg.norm(vectors, axis=1) > 0
+        vectors, sizes = vectors[kept], sizes[kept]
+        centres, (at, cosines) = cluster(vectors, clusters), usual(vectors, sizes, clusters)
+        n = len(centres)
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "sizes": [at.tolist()] * n, "cosines": [cosines.tolist()] * n})
 
-    learned = drawn.where(F.col("place") <= sample).groupBy("lang").applyInPandas(learn, "lang string, centre binary, least double")
-    centres = sorted(((r["lang"], bytes(r["centre"]), r["least"]) for r in learned.collect()), key=lambda x: x[0].encode())
-    return Model([c[0] for c in centres], np.array([np.frombuffer(c[1], np.float32) for c in centres]), np.array([c[2] for c in centres]), idf)
+    learned = drawn.where(F.col("place") <= sample).groupBy("lang").applyInPandas(learn, "lang string, centre binary, sizes array<double>, cosines array<double>")
+    centres = sorted(((r["lang"], bytes(r["centre"]), r["sizes"], r["cosines"]) for r in learned.collect()), key=lambda x: x[0].encode())
+    bounds = [(np.array(c[2]), np.array(c[3])) for c in centres]
+    return Model([c[0] for c in centres], np.array([np.frombuffer(c[1], np.float32) for c in centres]), bounds, idf, slack)
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
@@ -176,10 +203,10 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", names: tuple
             lang, score, rejected = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             for rows, counts in counted(texts) if model else ():
                 near = weighted(counts, model.idf) @ model.centroids.T
-                best = near.argmax(axis=1)
-                for i, j, cosine in zip(rows.tolist(), best.tolist(), near[np.arange(len(best)), best].tolist()):
+                best, sizes = near.argmax(axis=1), (counts > 0).sum(axis=1)
+                for i, j, cosine, size in zip(rows.tolist(), best.tolist(), near[np.arange(len(best)), best].tolist(), sizes.tolist()):
                     if texts[i] and letter(texts[i]):
-                        lang[i], score[i], rejected[i] = model.languages[j], min(1.0, max(0.0, cosine)), cosine < model.least[j]
+                        lang[i], score[i], rejected[i] = model.languages[j], min(1.0, max(0.0, cosine)), cosine < model.least(j, size)
             more = [pa.array(lang), pa.array(score), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 

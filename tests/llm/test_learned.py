@@ -1,5 +1,7 @@
 """Language ID and toxicity by held-out accuracy, and the pipeline stage by stage."""
 
+import base64
+import random
 import zlib
 
 import pytest
@@ -40,6 +42,32 @@ def test_language_of_awkward_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(df, None).collect()} == {"und"}
 
 
+def test_noise_and_unlearned_languages_are_rejected(spark):
+    """Letter noise of several lengths, and all languages learned but one; own held-out texts stay."""
+    drawn, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    noise = ["".join(drawn.choice(letters) for _ in range(n)) for n in (100, 1000, 8000) for _ in range(10)]
+    noise += [" ".join("".join(drawn.choice(letters) for _ in range(drawn.randint(2, 9))) for _ in range(n)) for n in (20, 200, 2000) for _ in range(10)]
+    noise += [base64.b64encode(drawn.randbytes(n)).decode() for n in (100, 1000, 8000) for _ in range(10)]
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL")
+    train, rest = table.where("doc_id % 5 != 0"), table.where("doc_id % 5 = 0").select("lang", "text")
+
+    def share(df, model):
+        rows = langid.predict(df, model).groupBy("rejected").count().collect()
+        return sum(r["count"] for r in rows if r["rejected"]) / sum(r["count"] for r in rows)
+
+    model = langid.fit(train)
+    assert share(docs(spark, [(i, x, None, None, 0) for i, x in enumerate(noise)]), model) >= 0.98
+    assert share(rest, model) <= 0.005
+    for left in ("de", "en"):
+        assert share(rest.where(F.col("lang") == left), langid.fit(train.where(F.col("lang") != left))) >= 0.95
+
+
+def test_language_of_few_texts(spark):
+    for n in (1, 3, 4, 7):
+        model = langid.fit(docs(spark, [(i, "the cat and the dog are here", "en", None, 0) for i in range(n)]))
+        assert [r["rejected"] for r in langid.predict(docs(spark, [(0, "the dog and the cat are here", None, None, 0), (1, "zqxj wvkq", None, None, 0)]), model).orderBy("doc_id").collect()] == [False, True]
+
+
 def test_long_texts_are_counted_whole(monkeypatch):
     texts = ["abc é " * 50, None, "q" * 500, "x"]
     whole = {int(i): c.tolist() for rows, counts in langid.counted(texts) for i, c in zip(rows, counts)}
