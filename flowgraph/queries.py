@@ -56,6 +56,26 @@ def text_line_count(spark, sf_dir):
     return combine.count_lines(lines(spark, sf_dir), "one")
 
 
+def whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges as text lines, and as node lines all parts and, for users whom no one follows, their ids with a minus."""
+    path, parts = new_path(spark, "lines"), t.read(spark, sf_dir, "part").select("p_partkey")
+    sinks.write_delimited(t.copurchase(spark, sf_dir), f"{path}/edges", ",")
+    sinks.write_delimited(parts.union(parts.select(-F.col("p_partkey"))), f"{path}/nodes", ",")
+    return readers.text_lines(spark, [f"{path}/edges", f"{path}/nodes"])
+
+
+@query(f"""{EDGES} SELECT CAST(k AS VARCHAR) AS "user", CAST(sum(n) AS BIGINT) AS followers FROM (
+  SELECT dst AS k, 1 AS n FROM e UNION ALL SELECT p_partkey, 0 FROM part UNION ALL SELECT -p_partkey, 0 FROM part) GROUP BY k""")
+def text_follower_count_whole(spark, sf_dir):
+    return combine.count_lines(whole_lines(spark, sf_dir))
+
+
+@query(f"""{EDGES} SELECT CAST(k AS VARCHAR) AS "user", count(*) AS followers FROM (
+  SELECT dst AS k FROM e UNION ALL SELECT p_partkey FROM part UNION ALL SELECT -p_partkey FROM part) GROUP BY k""")
+def text_line_count_whole(spark, sf_dir):
+    return combine.count_lines(whole_lines(spark, sf_dir), "one")
+
+
 @query(f"{EDGES} SELECT src, dst FROM e")
 def csv_edges(spark, sf_dir):
     """Edges written as CSV and read again with a schema, by a glob."""

@@ -23,6 +23,16 @@ def test_query_without_sql_runs(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_text_counts_keep_all_edges(spark):
+    sf = "/root/testdata/sf0.001"
+    edges, parts = queries.t.copurchase(spark, sf).count(), spark.read.parquet(f"{sf}/part.parquet").count()
+    followers = {r["user"]: r["followers"] for r in queries.QUERIES["text_follower_count_whole"](spark, sf).collect()}
+    ones = {r["user"]: r["followers"] for r in queries.QUERIES["text_line_count_whole"](spark, sf).collect()}
+    assert sum(followers.values()) == edges and sum(ones.values()) == edges + 2 * parts
+    assert any(n for user, n in followers.items() if int(user) % 3 == 0)
+    assert {n for user, n in followers.items() if int(user) < 0} == {0}
+
+
 def test_entry_without_the_optional_subpackage(spark, monkeypatch):
     for name in [n for n in sys.modules if n.startswith("flowgraph.llm")] + ["corpus_pipeline", "__spark_entry__"]:
         monkeypatch.delitem(sys.modules, name, raising=False)
