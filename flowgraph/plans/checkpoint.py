@@ -33,6 +33,44 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written step, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Steps:
+    """The written steps of one program, by name. A step replaces the one of its name, whose files go once the new ones are
+    complete; what still has to be read later needs a name of its own."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.tables = spark, {}, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def put_bucketed(self, name: str, df: DataFrame, key: str) -> DataFrame:
+        """A step that is dealt out by its key once, as a bucketed table with its files in the shared folder: joins on the key
+        then shuffle their other side only."""
+        path, n = new_path(self.spark, name), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"{name}_{uuid.uuid4().hex}"
+        df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(table)
+        self.drop(name)
+        self.paths[name], self.tables[name] = path, table
+        return self.spark.table(table)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if table := self.tables.pop(name, None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            if path := self.paths.pop(name, None):
+                remove(self.spark, path)
+
+
 def partitioned(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt out by its keys once and kept: joins on the keys in a loop then shuffle their other side only. Parts that are
     lost with an executor are made again from df. Call unpersist() after the loop."""
