@@ -1,5 +1,6 @@
-"""Connected components of a link table: by alternating star contractions, in which no node's links are gathered in one row;
-tables of at most FEW links, counted before, are folded by one task instead, in a few bytes a link."""
+"""Connected components of a link table: what one task's links connect is folded first, in a few bytes a node; then stars
+are contracted in turns (larger neighbours, smaller neighbours), in which no node's links are gathered in one row, until
+nothing changes. Both steps run at every size."""
 
 from __future__ import annotations
 
@@ -9,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise
+from ..plans.checkpoint import Steps
 
-#: Links that one task may fold.
-FEW = 200_000
+#: Nodes that a task folds at once; what they connect is handed on, and a new fold begins.
+FOLDED = 500_000
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (hi, lo) of the same components as a task's links, at most one a node and fold."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -23,24 +25,29 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x] = x = parent[up]
         return x
 
+    def stars() -> Iterator[pa.RecordBatch]:
+        nodes = [x for x, up in parent.items() if x != up]
+        for i in range(0, len(nodes), 50_000):
+            part = nodes[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["hi", "lo"])
+
     for batch in batches:
         for a, b in zip(*(c.to_pylist() for c in batch.columns)):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    for i in range(0, len(nodes), 50_000):
-        part = nodes[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["node", "component"])
+        if len(parent) > FOLDED:
+            yield from stars()
+            parent.clear()
+    yield from stars()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has a link to another; the component is its smallest node."""
+    steps = Steps(links.sparkSession)
     high, low = F.greatest(F.col(a), F.col(b)), F.least(F.col(a), F.col(b))
-    edges = materialise(links.where(F.col(a) != F.col(b)).select(high.alias("hi"), low.alias("lo")).distinct(), "edges")
-    if edges.count() <= few:
-        return edges.coalesce(1).mapInArrow(_fold, "node long, component long")
-    state = None
+    proper = links.where(F.col(a) != F.col(b)).select(high.alias("hi"), low.alias("lo"))
+    edges, state = steps.put("edges", proper.mapInArrow(_fold, "hi long, lo long").distinct()), None
     while True:
         # Large stars: each node's larger neighbours are linked to the smallest node around it.
         both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
@@ -49,9 +56,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", few: int = FEW) ->
         # Small stars: each node and its smaller neighbours are linked to the smallest of them.
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e"))
-        edges = materialise(small.select("e.hi", "e.lo").where("hi != lo").distinct(), "edges")
+        edges = steps.put("edges", small.select("e.hi", "e.lo").where("hi != lo").distinct())
         found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if found == state:
+        if found == state or found[0] == 0:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
                 edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
             )

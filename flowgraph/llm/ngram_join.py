@@ -1,19 +1,26 @@
 """Exact Jaccard join of word n-gram sets, as classes of linked documents.
 
 Equal sets are one set from the start. Every set is ordered by a sketch of how common its hashes are, rare ones first, and
-enters the index lists of its prefix with its size and its position there: sets of the asked similarity share a hash of
-their prefixes, at positions that leave room for the overlap they need. The lists are kept in order of size, so that
-blocks that are too short, or stand too far back, are skipped without a look.
+enters the index lists of its prefix with its size and its position there. The prefix is longer by a few hashes than
+sharing one would ask for, so that sets of the asked similarity share `meetings(size)` of them: sets that meet less often
+by chance are never fetched. The lists are kept in order of size and dealt out by size ranges, so that blocks that are too
+short, or stand too far back, are skipped without a look.
 
 Answers are derived from those of similar sets. In a leader round a set is compared with one set of its lists, of some
 that it meets there the nearest by parity bitmaps (which bound the difference of two sets from below), and if the two
 link it takes over that set's class: what is in one class needs no comparison any more. Large groups of near copies so
-fold in as many comparisons as they have members. After a few rounds all pairs that are left, of different classes, are
-compared, in their lists by parity bitmaps, then exactly. No pair is dropped unseen, and no pairs within a class are made.
+fold in as many comparisons as they have members. After these rounds all pairs that are left, of different classes, which
+meet often enough are compared, once each, by parity bitmaps and then exactly. No pair is dropped unseen, and no pairs
+within a class are made.
+
+Sets are dealt out by their ids once, as a bucketed table, so that a join moves the pairs and not all sets; steps that a
+later one replaces are deleted.
 
 Cases: null text and text without words have the empty set, linked with nothing; a text of fewer words than an n-gram has
 is one n-gram; equal texts link; an empty table gives an empty result; rows of equal id and text count as one, and
-rows of null id take part (their component is the smallest id of their class, null if none has one).
+rows of null id take part (their component is the smallest id of their class, null if none has one). A very long text is
+hashed alone and has as many entries as others for its size, each of fixed width; its bitmap moves once a pair. Ties in
+the order are broken by the hash. Extra columns are not read, and may have any names.
 """
 
 from __future__ import annotations
@@ -27,15 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.checkpoint import Steps, broadcast_if_small
 from .graphs import components
 from .shingles import set_ids, sets
-from .tables import materialise, ship
+from .tables import ship
 
-#: The sketch: counters by hash, in slices that are summed apart. Its 4 MB are broadcast, at any size of the corpus.
-SKETCH_BITS, SLICES = 20, 16
+#: The sketch: counters by hash, in slices that are summed apart. Its 16 MB (less when packed) are broadcast, at any size of
+#: the corpus; hashes are counted so many at once.
+SKETCH_BITS, SLICES, COUNTED = 22, 16, 1 << 21
 #: Rows of ids that may be broadcast (16 bytes each); beyond, the join is by shuffle.
 BROADCAST_IDS = 250_000
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Hashes that sets must share in their prefixes, unless they are small.
+SHARED = 4
+#: Entries of a list and size range that one task compares with all of it.
+LIST_SHARE = 2048
 #: Entries of a list that a leader round looks back at, and partners of a set that it weighs.
 WINDOW, PARTNERS = 64, 3
 #: Members of one leader that one task compares.
@@ -52,16 +65,30 @@ def _overlap(n, m, percent: int):
     return -(-(n + m) * percent // (100 + percent))
 
 
+def meetings(n, percent: int):
+    """How many hashes a set of size n shares in its prefix, at least, with any set of its size or more that links to it."""
+    return np.minimum(np.minimum(SHARED, 1 + n // 20), np.maximum(1, _least(n, percent)))
+
+
 def _profile(df: DataFrame, width: int) -> DataFrame:
     """Of each row: key, n, sid; and of each task the slices of its sketch (key null, slice not)."""
     size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(size, np.int64)
+        sketch, waiting = np.zeros(size, np.uint32), []
+
+        def count() -> None:
+            if waiting:
+                cells, counts = np.unique(np.concatenate(waiting), return_counts=True)
+                sketch[cells] += counts.astype(np.uint32)
+                waiting.clear()
+
         for batch in batches:
             n, sid = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for _, hashes, counts in sets((x.as_py() for x in batch.column(1)), width):
-                sketch += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+                waiting.append((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+                if sum(map(len, waiting)) >= COUNTED:
+                    count()
                 n.append(counts)
                 sid.append(set_ids(hashes, counts))
             rows, none = batch.num_rows, np.concatenate(n) == 0
@@ -69,8 +96,9 @@ def _profile(df: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(sid), mask=none), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                 names=["key", "n", "sid", "slice", "counts"],
             )
+        count()
         if sketch.any():
-            parts = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(sketch, SLICES)]
+            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SLICES)]
             none = pa.nulls(SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(parts, pa.binary())], names=["key", "n", "sid", "slice", "counts"])
 
@@ -110,7 +138,7 @@ def _prefixes(df: DataFrame, sketch: bytes, width: int, percent: int) -> DataFra
                 new &= np.array([x not in seen for x in sid.tolist()], bool)
                 if len(seen) < 1 << 16:  # copies met again by this task are left out; those of other tasks, when lists are sorted
                     seen.update(sid[new].tolist())
-                keep = np.flatnonzero((place < (counts - _least(counts, percent) + 1)[who]) & new[who])
+                keep = np.flatnonzero((place < (counts - _least(counts, percent) + meetings(counts, percent))[who]) & new[who])
                 for at in np.array_split(keep, 1 + len(keep) // 100_000):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(hashes[order[at]].view(np.int64)), pa.array(sid[who[at]]), pa.array(counts[who[at]].astype(np.int32)), pa.array(place[at].astype(np.int32))],
@@ -144,6 +172,18 @@ def _shared(entries: DataFrame, percent: int) -> DataFrame:
     return entries.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(run, "token long, sid long, n int, pos int")
 
 
+def _met_enough(entries: DataFrame, percent: int) -> DataFrame:
+    """(sid, n) of the sets with as many entries as they share with any set that links to them."""
+    least = F.ceil(F.col("n") * percent / 100)
+    asked = F.least(F.lit(SHARED), 1 + F.floor(least / 20), F.greatest(F.lit(1), F.ceil(least * percent / 100)))
+    return entries.groupBy("sid", "n").agg(F.count(F.lit(1)).alias("entries")).where(F.col("entries") >= asked).select("sid", "n")
+
+
+def _range(percent: int):
+    """The size range of a set: sets that may link are of one range or of neighbouring ones."""
+    return F.floor(F.log(F.col("n")) / (np.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0)).cast("int")
+
+
 def _fits(n: int, pos: int, m: int, at: int, percent: int) -> bool:
     """Whether sets of sizes n and m can reach the similarity if their first shared hash is at pos and at."""
     need = -(-(n + m) * percent // (100 + percent))
@@ -157,9 +197,9 @@ def _leaders(entries: DataFrame, percent: int, round_: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, window, out_b, out_a = None, [], [], []
         for batch in batches:
-            for t, n, sid, pos, own in zip(*(c.to_pylist() for c in batch.columns)):
-                if t != token:
-                    token, window = t, []
+            for t, block, n, sid, pos, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if (t, block) != token:
+                    token, window = (t, block), []
                 least = -(-n * percent // 100)
                 while window and window[0][0] < least:  # a block that is too short
                     window.pop(0)
@@ -184,54 +224,65 @@ def _leaders(entries: DataFrame, percent: int, round_: int) -> DataFrame:
         if out_b:
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_a, pa.int64())], names=["b", "a"])
 
-    ordered = entries.repartition("token").sortWithinPartitions("token", "n", "sid").select("token", "n", "sid", "pos", "class")
+    ranged = entries.withColumn("range", _range(percent))
+    ordered = ranged.repartition("token", "range").sortWithinPartitions("token", "range", "n", "sid").select("token", "range", "n", "sid", "pos", "class")
     met = ordered.mapInArrow(run, "b long, a long").groupBy("b", "a").agg(F.count(F.lit(1)).alias("met"))
     place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("met"), "a"))
     return met.withColumn("place", place).where(F.col("place") <= PARTNERS).select("b", "a")
 
 
-def _all_pairs(entries: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """All pairs (b, a) of sets of different classes that share a list, fit each other there, and whose parity bitmaps allow
-    the similarity. The bitmaps travel with the entries, so that no other pair leaves its list."""
+def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """All pairs (b, a) of sets of different classes that fit each other and meet in as many lists as linked sets do. A list
+    is dealt out by size ranges: an entry is compared with those before it in its own range and with all that fit of the
+    range before. Where a list and range hold many entries, these are dealt to several tasks, each with all of the range."""
+    ranged = entries.withColumn("range", _range(percent))
+    rows = ranged.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("range", F.col("range") + F.col("up"))
+    many = rows.groupBy("token", "range").agg(F.ceil(F.count(F.lit(1)) / LIST_SHARE).cast("int").alias("parts")).where("parts > 1")
+    many = broadcast_if_small(many.select(F.col("token").alias("hot"), F.col("range").alias("hot_range"), "parts"), BROADCAST_IDS)
+    rows = rows.join(many, (F.col("token") == F.col("hot")) & (F.col("range") == F.col("hot_range")), "left")
+    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asks = (F.col("up") == 0) & (F.pmod(F.xxhash64("sid"), F.col("parts")) == F.col("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, out_b, out_a = None, [], []
-        classes: dict[int, tuple[list, list]] = {}  # the list's entries that a later one can still fit: sizes, and the rest
+        key, out = None, ([], [], [])
+        classes: dict[int, tuple[list, list]] = {}  # the entries that a later one can still fit: sizes, and the rest
         for batch in batches:
-            for t, n, sid, pos, own, parity in zip(*(c.to_pylist() for c in batch.columns)):
-                if t != token:
-                    token, classes = t, {}
-                least = -(-n * percent // 100)
-                # The largest partner that leaves room at this position: n - pos >= percent * (n + m) / (100 + percent).
-                most = (n - pos) * (100 + percent) // percent - n
-                bits, size, short = int.from_bytes(parity, "little"), len(parity), []
-                for other, (sizes, entries) in classes.items():
-                    if other == own:
-                        continue
-                    if sizes[-1] < least:  # a block that is too short, for all that come
-                        short.append(other)
-                        continue
-                    for i in range(bisect_left(sizes, least), bisect_right(sizes, most)):
-                        m, (a, spare, others) = sizes[i], entries[i]
-                        need = -(-(n + m) * percent // (100 + percent))
-                        if spare >= need and n - pos >= need:
-                            if _difference(bits, size, int.from_bytes(others, "little"), len(others)) <= n + m - 2 * need:
-                                out_b.append(sid)
-                                out_a.append(a)
-                for other in short:
-                    del classes[other]
-                if n - pos >= -(-2 * n * percent // (100 + percent)):  # else it stands too far back for any set of its size or more
-                    sizes, entries = classes.setdefault(own, ([], []))
+            for t, block, part, n, sid, pos, own, asks in zip(*(c.to_pylist() for c in batch.columns)):
+                if (t, block, part) != key:
+                    key, classes = (t, block, part), {}
+                least, spare = -(-n * percent // 100), n - pos
+                if asks:
+                    # The largest partner that leaves room at this position: spare + SHARED - 1 >= percent * (n + m) / (100 + percent).
+                    most, short = (spare + SHARED - 1) * (100 + percent) // percent - n, []
+                    for other, (sizes, held) in classes.items():
+                        if other == own:
+                            continue
+                        if sizes[-1] < least:  # a block that is too short, for all that come
+                            short.append(other)
+                            continue
+                        for i in range(bisect_left(sizes, least), bisect_right(sizes, most)):
+                            m, (a, room) = sizes[i], held[i]
+                            asked = int(meetings(m, percent))
+                            need = -(-(n + m) * percent // (100 + percent)) - asked + 1
+                            if room >= need and spare >= need:
+                                for column, value in zip(out, (sid, a, asked)):
+                                    column.append(value)
+                    for other in short:
+                        del classes[other]
+                if spare + SHARED - 1 >= -(-2 * n * percent // (100 + percent)):  # else it stands too far back for any set of its size or more
+                    sizes, held = classes.setdefault(own, ([], []))
                     sizes.append(n)
-                    entries.append((sid, n - pos, parity))
-                if len(out_b) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_a, pa.int64())], names=["b", "a"])
-                    out_b, out_a = [], []
-        if out_b:
-            yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_a, pa.int64())], names=["b", "a"])
+                    held.append((sid, spare))
+                if len(out[0]) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["b", "a", "asked"])
+                    out = ([], [], [])
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["b", "a", "asked"])
 
-    ordered = entries.join(whole.select("sid", "parity"), "sid").repartition("token").sortWithinPartitions("token", "n", "sid")
-    return ordered.select("token", "n", "sid", "pos", "class", "parity").mapInArrow(run, "b long, a long").distinct()
+    order = ("token", "range", "part", "n", "sid")
+    ordered = rows.withColumn("asks", asks).repartition("token", "range", "part").sortWithinPartitions(*order)
+    met = ordered.select(*order, "pos", "class", "asks").mapInArrow(run, "b long, a long, asked long")
+    return met.groupBy("b", "a").agg(F.count(F.lit(1)).alias("met"), F.max("asked").alias("asked")).where("met >= asked").select("b", "a")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -268,8 +319,8 @@ def _difference(a: int, n: int, b: int, m: int) -> int:
     return (a ^ b).bit_count()
 
 
-def _nearest(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Of each set's partners the one that looks nearest by parity bitmaps, if they allow the similarity."""
+def _possible(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(b, a, far) of the pairs whose parity bitmaps allow the similarity; far: how far apart they look. A bitmap moves once a pair."""
     left = whole.select(F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("parity").alias("bp"))
     right = whole.select(F.col("sid").alias("a"), F.col("n").alias("an"), F.col("parity").alias("ap"))
 
@@ -280,8 +331,7 @@ def _nearest(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
             keep = [i for i, d in enumerate(far) if d <= bn[i] + an[i] - 2 * _overlap(bn[i], an[i], percent)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (b, a, far)], names=["b", "a", "far"])
 
-    joined = pairs.join(left, "b").join(right, "a").select("b", "bn", "bp", "a", "an", "ap").mapInArrow(run, "b long, a long, far long")
-    return joined.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
+    return pairs.join(left, "b").join(right, "a").select("b", "bn", "bp", "a", "an", "ap").mapInArrow(run, "b long, a long, far long")
 
 
 def _links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -321,8 +371,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     """(key, n_shingles, component_id) of every row: texts link when 100 * intersection >= percent * union of their sets of
     `width`-word shingles; component_id is the smallest key reachable by links."""
     ship(df.sparkSession)
+    steps = Steps(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    profile = materialise(_profile(docs, width), "profile")
+    profile = steps.put("profile", _profile(docs, width))
     rows = profile.where(F.col("slice").isNull()).select("key", "n", "sid")
     slices = profile.where(F.col("slice").isNotNull()).select("slice", "counts")
     slices = _sum_slices(_sum_slices(slices).repartition("slice"))
@@ -330,27 +381,42 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     if not parts:
         return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
     sketch = zlib.compress(b"".join(zlib.decompress(bytes(parts[i])) for i in range(SLICES)), 1)
-
-    lists = materialise(_shared(_prefixes(docs.select("text"), sketch, width, percent), percent), "lists")
-    wanted = lists.select("sid").distinct().join(rows.groupBy("sid").agg(F.min("key").alias("wanted")), "sid").select("wanted", "sid")
-    whole = materialise(_whole_sets(docs, wanted, width), "sets")
-    links, labelled, classes = None, lists.withColumn("class", F.col("sid")), None
+    del parts
+
+    lists = steps.put("lists", _shared(_prefixes(docs.select("text"), sketch, width, percent), percent))
+    live = steps.put("live", _met_enough(lists, percent))
+    lists = steps.put("lists", lists.join(live, ["sid", "n"], "left_semi").select("token", "sid", "n", "pos"))
+    wanted = live.select("sid").join(rows.groupBy("sid").agg(F.min("key").alias("wanted")), "sid").select("wanted", "sid")
+    whole = steps.put_bucketed("sets", _whole_sets(docs, steps.put("wanted", wanted), width), "sid")
+    labelled, classes = lists.withColumn("class", F.col("sid")), None
     for round_ in [*range(LEADER_ROUNDS), None]:
         if classes is not None and labelled.isEmpty():
             break  # all sets that share a list are of one class
         if round_ is not None:
-            pairs = _nearest(_leaders(labelled, percent, round_), whole, percent)
+            pairs = _possible(_leaders(labelled, percent, round_), whole, percent)
+            pairs = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
         else:
-            pairs = _all_pairs(labelled, whole, percent)
-        pairs = materialise(pairs, "pairs")
-        found = materialise(_links(pairs, whole, percent), "links")
-        links = found if links is None else links.union(found)
-        classes = materialise(components(links, "b", "a"), "classes")
+            pairs = _possible(_all_pairs(labelled, percent), whole, percent).select("b", "a")
+        pairs = steps.put("pairs", pairs)
+        links = steps.put("links", _links(pairs, whole, percent))
+        if classes is not None:
+            links = links.union(classes.select(F.col("node").alias("b"), F.col("component").alias("a")))
+        classes = steps.put("classes", components(links, "b", "a"))
         if round_ is not None:
             of = classes.withColumnRenamed("node", "sid").withColumnRenamed("component", "of")
-            now = lists.join(of, "sid", "left").withColumn("class", F.coalesce("of", "sid")).drop("of")
+            now = steps.put("placed", lists.join(of, "sid", "left").withColumn("class", F.coalesce("of", "sid")).drop("of"))
             several = now.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("token")
-            labelled = materialise(now.join(several, "token", "left_semi"), "lists")
-    joined = rows.join(classes, rows["sid"] == classes["node"], "left").withColumn("class", F.coalesce("component", "sid")).drop("node", "component")
-    least = joined.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("least"))
-    return joined.join(least, "class", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"))
+            labelled = steps.put("labelled", now.join(several, "token", "left_semi"))
+    steps.drop("live", "wanted", "lists", "placed", "labelled", "pairs", "links", "sets")
+
+    # The smallest key of each set's class; sets of more than a thousandth of the rows, below a thousand, are looked up by broadcast.
+    own = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"))
+    placed = own.join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("component", "sid"))
+    of = placed.groupBy("class").agg(F.min("least").alias("first"))
+    found = steps.put("found", placed.join(of, "class").select("sid", "first", "copies"))
+    hot = F.broadcast(found.where(F.col("copies") * 1000 > rows.count()).select("sid", F.col("first").alias("hot_first"), F.lit(True).alias("hot")))
+    marked = rows.join(hot, "sid", "left")
+    cold = marked.where(F.col("hot").isNull() & F.col("sid").isNotNull()).join(found.select("sid", "first"), "sid")
+    out = cold.select("key", "n", "first").unionByName(marked.where(F.col("hot")).select("key", "n", F.col("hot_first").alias("first")))
+    out = out.unionByName(rows.where(F.col("sid").isNull()).select("key", "n", F.col("key").alias("first")))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "key").alias("component_id"))

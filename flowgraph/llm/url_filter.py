@@ -20,9 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise, unique_name, without
+from .tables import LOWER, UPPER, materialise, unique_name, without
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEPTH = 6
 #: A node is variable from so many children on, if they have fewer urls than so many each.
 CHILDREN, REPEATS = 8, 4

@@ -75,6 +75,25 @@ def test_against_brute_force(spark, corpus):
     assert run(spark, corpus) == brute(corpus)
 
 
+def test_agrees_with_sql(spark, duck, same):
+    from flowgraph.llm import q_ngram_join
+
+    sf = "/root/testdata/sf0.001"
+    same(q_ngram_join.op5_ngram_join(spark, sf), duck("sf0.001").execute(q_ngram_join.JOIN_SQL).df())
+
+
+def test_a_very_long_text_and_many_rows_of_one_list(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIST_SHARE", 3)
+    draw = random.Random(9)
+    long = [f"w{i}" for i in range(200_000)]
+    passage = prose(draw, 40)
+    texts = [" ".join(long), " ".join([*long[:150_000], "x", *long[150_001:]]), " ".join(long[:100_000])]
+    texts += [" ".join([*passage, f"y{i}", f"z{i % 7}", f"z{i % 5}"]) for i in range(40)]
+    found = run(spark, texts)
+    assert found[0] == (199_996, 0) and found[1] == (199_996, 0) and found[2] == (99_996, 2)
+    assert {i - 3: (n, c - 3) for i, (n, c) in found.items() if i > 2} == brute(texts[3:])
+
+
 def test_without_leader_rounds(spark, corpus, monkeypatch):
     monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", 0)
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
@@ -127,5 +146,6 @@ def test_components(spark):
     found = dict(map(tuple, graphs.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
     expected = {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {100 + i: 100 for i in range(41)} | {500 + i: 500 for i in range(30)}
     assert found == expected
-    assert dict(map(tuple, graphs.components(spark.createDataFrame(links, "a bigint, b bigint"), few=0).collect())) == expected
+    many = spark.createDataFrame(links, "a bigint, b bigint").repartition(9)  # no task sees a whole component
+    assert dict(map(tuple, graphs.components(many).collect())) == expected
     assert graphs.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
