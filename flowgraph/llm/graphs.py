@@ -46,9 +46,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has a link to another; the component is its smallest node."""
     steps = Steps(links.sparkSession)
     high, low = F.greatest(F.col(a), F.col(b)), F.least(F.col(a), F.col(b))
-    proper = links.where(F.col(a) != F.col(b)).select(high.alias("hi"), low.alias("lo"))
-    edges, state = steps.put("edges", proper.mapInArrow(_fold, "hi long, lo long").distinct()), None
-    while True:
+    proper = links.where(F.col(a) != F.col(b)).select(high.alias("hi"), low.alias("lo")).distinct()
+    edges = steps.put("edges", proper.mapInArrow(_fold, "hi long, lo long"))
+    while not _stars(edges):
         # Large stars: each node's larger neighbours are linked to the smallest node around it.
         both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("m"))
@@ -57,9 +57,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e"))
         edges = steps.put("edges", small.select("e.hi", "e.lo").where("hi != lo").distinct())
-        found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if found == state or found[0] == 0:
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
-                edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-            )
-        state = found
+    nodes = F.explode(F.array("hi", "lo")).alias("node")
+    return edges.select(nodes, F.col("lo").alias("component")).distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node that links lower does so once, and to a node that doesn't."""
+    ends = F.explode(F.array(F.struct(F.col("hi").alias("node"), F.lit(1).alias("down")), F.struct(F.col("lo").alias("node"), F.lit(0).alias("down"))))
+    nodes = edges.select(ends.alias("e")).select("e.*").groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+    return nodes.where((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("least") == 0))).isEmpty()

@@ -47,6 +47,8 @@ BROADCAST_IDS = 250_000
 LEADER_ROUNDS = 2
 #: Hashes that sets must share in their prefixes, unless they are small.
 SHARED = 4
+#: Most bytes of a parity bitmap that an entry carries; the whole one of a larger set moves once a pair.
+ENTRY_BYTES = 64
 #: Entries of a list and size range that one task compares with all of it.
 LIST_SHARE = 2048
 #: Entries of a list that a leader round looks back at, and partners of a set that it weighs.
@@ -231,11 +233,12 @@ def _leaders(entries: DataFrame, percent: int, round_: int) -> DataFrame:
     return met.withColumn("place", place).where(F.col("place") <= PARTNERS).select("b", "a")
 
 
-def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs (b, a) of sets of different classes that fit each other and meet in as many lists as linked sets do. A list
+def _all_pairs(entries: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """All pairs (b, a) of sets of different classes that fit each other, whose bounded bitmaps allow the similarity, and that
+    meet in as many lists as linked sets do. A list
     is dealt out by size ranges: an entry is compared with those before it in its own range and with all that fit of the
     range before. Where a list and range hold many entries, these are dealt to several tasks, each with all of the range."""
-    ranged = entries.withColumn("range", _range(percent))
+    ranged = entries.join(whole.select("sid", "brief"), "sid").withColumn("range", _range(percent))
     rows = ranged.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("range", F.col("range") + F.col("up"))
     many = rows.groupBy("token", "range").agg(F.ceil(F.count(F.lit(1)) / LIST_SHARE).cast("int").alias("parts")).where("parts > 1")
     many = broadcast_if_small(many.select(F.col("token").alias("hot"), F.col("range").alias("hot_range"), "parts"), BROADCAST_IDS)
@@ -247,10 +250,10 @@ def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
         key, out = None, ([], [], [])
         classes: dict[int, tuple[list, list]] = {}  # the entries that a later one can still fit: sizes, and the rest
         for batch in batches:
-            for t, block, part, n, sid, pos, own, asks in zip(*(c.to_pylist() for c in batch.columns)):
+            for t, block, part, n, sid, pos, own, asks, brief in zip(*(c.to_pylist() for c in batch.columns)):
                 if (t, block, part) != key:
                     key, classes = (t, block, part), {}
-                least, spare = -(-n * percent // 100), n - pos
+                least, spare, bits, size = -(-n * percent // 100), n - pos, int.from_bytes(brief, "little"), len(brief)
                 if asks:
                     # The largest partner that leaves room at this position: spare + SHARED - 1 >= percent * (n + m) / (100 + percent).
                     most, short = (spare + SHARED - 1) * (100 + percent) // percent - n, []
@@ -261,10 +264,9 @@ def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
                             short.append(other)
                             continue
                         for i in range(bisect_left(sizes, least), bisect_right(sizes, most)):
-                            m, (a, room) = sizes[i], held[i]
-                            asked = int(meetings(m, percent))
-                            need = -(-(n + m) * percent // (100 + percent)) - asked + 1
-                            if room >= need and spare >= need:
+                            m, (a, room, others, length) = sizes[i], held[i]
+                            asked, need = int(meetings(m, percent)), -(-(n + m) * percent // (100 + percent))
+                            if min(room, spare) > need - asked and _difference(bits, size, others, length) <= n + m - 2 * need:
                                 for column, value in zip(out, (sid, a, asked)):
                                     column.append(value)
                     for other in short:
@@ -272,7 +274,7 @@ def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
                 if spare + SHARED - 1 >= -(-2 * n * percent // (100 + percent)):  # else it stands too far back for any set of its size or more
                     sizes, held = classes.setdefault(own, ([], []))
                     sizes.append(n)
-                    held.append((sid, spare))
+                    held.append((sid, spare, bits, size))
                 if len(out[0]) >= 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["b", "a", "asked"])
                     out = ([], [], [])
@@ -281,12 +283,13 @@ def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
     order = ("token", "range", "part", "n", "sid")
     ordered = rows.withColumn("asks", asks).repartition("token", "range", "part").sortWithinPartitions(*order)
-    met = ordered.select(*order, "pos", "class", "asks").mapInArrow(run, "b long, a long, asked long")
+    met = ordered.select(*order, "pos", "class", "asks", "brief").mapInArrow(run, "b long, a long, asked long")
     return met.groupBy("b", "a").agg(F.count(F.lit(1)).alias("met"), F.max("asked").alias("asked")).where("met >= asked").select("b", "a")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sid, n, hashes, parity) of the wanted (key, sid): each set once more from its text."""
+    """(sid, n, hashes, parity, brief) of the wanted (key, sid): each set once more from its text, with its parity bitmap, which
+    brief is folded to at most ENTRY_BYTES."""
     few = wanted.count() <= BROADCAST_IDS
     rows = docs.join(F.broadcast(wanted) if few else wanted, docs["key"].eqNullSafe(wanted["wanted"])).select("sid", "text")
 
@@ -295,17 +298,19 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             wanted_sid = batch.column(0).to_numpy()
             for first, hashes, counts in sets((x.as_py() for x in batch.column(1)), width):
                 sid, ends = set_ids(hashes, counts), np.cumsum(counts)
-                out: tuple[list, list, list, list] = ([], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [])
                 for i in np.flatnonzero(sid == wanted_sid[first : first + len(counts)]):
                     own = hashes[ends[i] - counts[i] : ends[i]]
                     bits = 1 << max(6, int(2 * counts[i] - 1).bit_length())
                     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-                    for column, value in zip(out, (int(sid[i]), int(counts[i]), own.tobytes(), np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())):
+                    few = odd.reshape(-1, min(bits, 8 * ENTRY_BYTES)).sum(axis=0) & 1
+                    parity, brief = (np.packbits(x.astype(np.uint8), bitorder="little").tobytes() for x in (odd, few))
+                    for column, value in zip(out, (int(sid[i]), int(counts[i]), own.tobytes(), parity, brief)):
                         column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["sid", "n", "hashes", "parity"])
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["sid", "n", "hashes", "parity", "brief"])
 
-    return rows.mapInArrow(run, "sid long, n int, hashes binary, parity binary")
+    return rows.mapInArrow(run, "sid long, n int, hashes binary, parity binary, brief binary")
 
 
 def _difference(a: int, n: int, b: int, m: int) -> int:
@@ -396,7 +401,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
             pairs = _possible(_leaders(labelled, percent, round_), whole, percent)
             pairs = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
         else:
-            pairs = _possible(_all_pairs(labelled, percent), whole, percent).select("b", "a")
+            pairs = _possible(_all_pairs(labelled, whole, percent), whole, percent).select("b", "a")
         pairs = steps.put("pairs", pairs)
         links = steps.put("links", _links(pairs, whole, percent))
         if classes is not None:
