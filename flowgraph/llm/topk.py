@@ -1,17 +1,20 @@
 """Exact top-k search by inner product over integer vectors, by norm buckets.
 
-Vectors are bucketed by length. The bucket of the longest ones is searched first and gives every query a score that its
-k best must reach. In every other bucket that score, over the query's length and the bucket's largest, is a local
-threshold of the cosine: above 1 the bucket is skipped; if it is high the coordinate bounds that it implies prune (a
-vector of at least that cosine has its coordinates near the query's, most of all in the query's largest ones), else
-the vectors that are too short do. What is left is verified by its product. Nothing is pruned that could tie.
+Vectors are ordered by length and cut into buckets, the longest first: blocks of the table, and in them runs of rows that
+grow. The first block is searched first and gives every query a score that its k best must reach; in a block that score
+rises from bucket to bucket. Over the query's length and the bucket's largest it is a local threshold of the cosine: above
+1 the bucket is skipped; vectors that are too short are pruned by length; if it is high the coordinate bounds that it
+implies prune (a vector of at least that cosine has its coordinates near the query's, most of all in the query's largest
+ones); then the products over the query's largest coordinates do, with the lengths of what is left of both as a bound of
+the rest. What is left is verified by its product. Nothing is pruned that could tie, and all of this runs at every size.
 
 Products are taken in double precision while they are exact there, else in whole numbers without bound; scores beyond
 64 bits are cut to the nearest that has 64.
 
 Cases: vectors that are null or hold null or non-finite components (or such that are not finite times the scale) take no
-part, nor do rows of null id; zero vectors do, with score 0; equal vectors, ties and repeated rows: see vectors; rows of
-a query's own id are not its candidates; shorter vectors count as ending in zeros; an empty table gives an empty result.
+part, nor do rows of null id; zero vectors do, with score 0; equal vectors, ties, repeated rows and an id on several
+vectors: see vectors; rows of a query's own id are not its candidates; shorter vectors count as ending in zeros; an empty
+table gives an empty result. Extra columns are not read, and may have any names.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from .vectors import BLOCK_ROWS, best, distinct_vectors, matrix, nearest, query_
 
 #: From this local threshold on coordinates prune, below it lengths do; and the query's largest coordinates that are looked at.
 COORDINATE_COSINE, FOCUS = 0.6, 4
-#: Buckets of the lengths, before those of too many rows are cut further.
-BUCKETS = 64
+#: Shares of the query's coordinates, largest first, whose products prune in turn.
+PARTS = (0.5, 0.75)
+#: Ranges of length of the table, before those of too many rows are cut further; rows of a block's first bucket.
+BUCKETS, FIRST = 64, 256
 LARGEST = (1 << 63) - 1
 
 
@@ -50,11 +55,9 @@ def pruned(vectors: np.ndarray, lengths: np.ndarray, query: np.ndarray, least: f
     if cosine > 1:
         return np.empty(0, np.int64)
     long_enough = len(lengths) - int(np.searchsorted(lengths[::-1], least / n * (1 - 1e-9)))
-    rows = np.arange(long_enough)
-    if cosine < COORDINATE_COSINE:
-        return rows
-    unit = query / n
-    for f in np.argsort(-np.abs(unit))[:FOCUS].tolist():
+    rows, unit = np.arange(long_enough), query / n
+    largest = np.argsort(-np.abs(unit), kind="stable")
+    for f in largest[:FOCUS].tolist() if cosine >= COORDINATE_COSINE else ():
         spread = np.sqrt(max(0.0, (1 - cosine**2) * (1 - unit[f] ** 2)))
         at = vectors[rows, f] / np.maximum(lengths[rows], 1e-300)
         bottom, top = cosine * unit[f] - spread - 1e-9, cosine * unit[f] + spread + 1e-9
@@ -64,9 +67,32 @@ def pruned(vectors: np.ndarray, lengths: np.ndarray, query: np.ndarray, least: f
         else:
             bottom = -1.0 - 1e-9 if cosine <= -unit[f] else unit[f] * cosine - spread - 1e-9
         rows = rows[(at >= bottom) & (at <= top)]
+    for part in PARTS:
+        front = largest[: max(1, int(len(query) * part))]
+        own = vectors[rows][:, front]
+        rest = np.sqrt(np.maximum(0.0, lengths[rows] ** 2 - np.einsum("ij,ij->i", own, own))) * np.linalg.norm(np.delete(query, front))
+        rows = rows[~(own @ query[front] + rest < least - 1e-6 * n * lengths[0])]  # numbers too large for a bound stay
     return rows
 
 
+def scan(vectors: np.ndarray, lengths: np.ndarray, ids: list, query: np.ndarray, k: int, bound: float) -> tuple[list, list, int]:
+    """The k + 1 best ids of a block (in descending order of length) with their scores, of those that reach the bound; and how
+    many rows were verified."""
+    found, scores, start, step, verified = [], [], 0, FIRST, 0
+    while start < len(vectors):
+        part = slice(start, start + step)
+        near = np.arange(len(vectors[part])) if bound == -np.inf else pruned(vectors[part], lengths[part], query, bound)
+        verified += len(near)
+        more = products(vectors[part][near], query)
+        near, more = near[more >= bound] + start, more[more >= bound]
+        every = np.concatenate([np.array(scores, np.int64), more])
+        found, scores = best(every, [[x] for x in found] + [ids[i] for i in near.tolist()], k)
+        if len(found) > k:
+            bound = max(bound, float(scores[-1]))
+        start, step = start + step, 2 * step
+    return found, scores, verified
+
+
 def top_products(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with is_query (a condition on the column id) the k rows of highest inner
     product, components being floor(scale * x)."""
@@ -100,9 +126,7 @@ def top_products(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
         vectors, lengths, ids = vectors[order], lengths[order], [ids[i] for i in order.tolist()]
         out: tuple[list, list, list] = ([], [], [])
         for i, rep in enumerate(reps):
-            bound = -np.inf if least[i] is None else float(least[i])
-            near = np.arange(len(vectors)) if bound == -np.inf else pruned(vectors, lengths, asked[i], bound)
-            found, scores = best(products(vectors[near], asked[i]), [ids[j] for j in near.tolist()], k)
+            found, scores, _ = scan(vectors, lengths, ids, asked[i], k, -np.inf if least[i] is None else float(least[i]))
             out[0].extend([rep] * len(found))
             out[1].extend(found)
             out[2].extend(map(int, scores))

@@ -3,7 +3,8 @@ against all rows in blocks of bounded size.
 
 Equal vectors have equal scores and ties go to smaller ids, so that of each distinct vector only its k + 1 smallest ids can
 be among the k best of any query (one more, as a query is not its own candidate). The rest of a hot vector's rows drop
-out where they are read, and all queries of one vector are searched once.
+out where they are read, and all queries of one vector are searched once. Repeated rows count once; an id that several
+vectors carry stands for each of them: as a candidate it has its best score, as a query the best of their results.
 """
 
 from __future__ import annotations
@@ -95,6 +96,6 @@ def query_vectors(rows: DataFrame, is_query: Column) -> tuple[DataFrame, DataFra
 
 def nearest(of: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of every query: what was found for its vector, without itself."""
-    joined = of.join(found, "rep").where(F.col("query_id") != F.col("vec_id"))
+    joined = of.join(found, "rep").where(F.col("query_id") != F.col("vec_id")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return joined.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
