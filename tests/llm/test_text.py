@@ -227,3 +227,26 @@ def test_windows_by_brute_force(found):
     assert all(w.score == score[w.first, w.end, w.license] >= 0.8 for w in told)
     assert all(a.end <= b.first for a, b in zip(told, told[1:]))
     assert all(any(i < w.end and w.first < j for w in told) for (i, j, _), x in score.items() if x >= 0.8)
+
+
+def test_url_evidence_of_other_hosts(spark):
+    """A host without evidence is judged by paths of the same shape under hosts that rules have decided."""
+    rules = {"bad.com/": "block", "good.com/": "allow"}
+    rows = [(f"http://{h}.com/{s}/{i}",) for h, s in (("bad", "x"), ("good", "y"), ("new", "x"), ("new", "y")) for i in range(60)]
+    found = url_filter.judged(spark.createDataFrame(rows, "url string"), rules).collect()
+    assert {(r["host"], r["path"][:3], r["verdict"]) for r in found} == {("bad.com", "/x/", "block"), ("good.com", "/y/", "allow"), ("new.com", "/x/", "block"), ("new.com", "/y/", "allow")}
+
+
+def test_urls_of_any_depth_and_length(spark):
+    """The tree goes on to the last segment where urls part; what they share below takes no round."""
+    rules, deep = {"a.com/": "block", "b.com/": "allow"}, "/s" * 7
+    rows = [(f"http://{h}.com{deep}/{end}" + "/t" * 3000,) for h, end in (("a", "x"), ("b", "y"), ("c", "x"), ("c", "y")) for _ in range(40)]
+    found = url_filter.judged(spark.createDataFrame(rows, "url string"), rules).collect()
+    assert len(found) == 160 and {len(r["template"]) for r in found if r["host"] == "a.com"} == {2 * 3008}
+    assert {(r["host"], r["path"][15], r["verdict"]) for r in found} == {("a.com", "x", "block"), ("b.com", "y", "allow"), ("c.com", "x", "block"), ("c.com", "y", "allow")}
+
+
+def test_url_rules_of_one_length(spark):
+    rules = {"a.com/x": "block", "b.a.com/": "allow", "a.com/y": "allow"}
+    found = url_filter.judged(spark.createDataFrame([("http://b.a.com/x",), ("http://a.com/x1",), ("http://a.com/y",)], "url string"), rules).collect()
+    assert [(r["rule"], r["verdict"]) for r in found] == [("b.a.com/", "allow"), ("a.com/x", "block"), ("a.com/y", "allow")]
