@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import combine, kmeans, matrix, pagerank, paths, shortest
+from .plans import introspect
 from .plans.checkpoint import materialise, new_path
 from .sources import generators, readers, sinks
 from .sources import tables as t
@@ -36,44 +37,57 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges as text lines, all parts as node lines, written as text and read again."""
-    edges = t.copurchase(spark, sf_dir).where(F.col("dst") % 3 != 0)
-    path = new_path(spark, "lines")
-    sinks.write_delimited(edges, f"{path}/edges", ",")
-    sinks.write_delimited(t.read(spark, sf_dir, "part").select("p_partkey"), f"{path}/nodes", ",")
+    """All edges as text lines, and as node lines all parts and, for users whom no one follows, their ids with a minus; written
+    as text and read again."""
+    path, parts = new_path(spark, "lines"), t.read(spark, sf_dir, "part").select("p_partkey")
+    sinks.write_delimited(t.copurchase(spark, sf_dir), f"{path}/edges", ",")
+    sinks.write_delimited(parts.union(parts.select(-F.col("p_partkey"))), f"{path}/nodes", ",")
     return readers.text_lines(spark, [f"{path}/edges", f"{path}/nodes"])
 
 
 @query(f"""{EDGES} SELECT CAST(k AS VARCHAR) AS "user", CAST(sum(n) AS BIGINT) AS followers FROM (
-  SELECT dst AS k, 1 AS n FROM e WHERE dst % 3 <> 0 UNION ALL SELECT p_partkey, 0 FROM part) GROUP BY k""")
+  SELECT dst AS k, 1 AS n FROM e UNION ALL SELECT p_partkey, 0 FROM part UNION ALL SELECT -p_partkey, 0 FROM part) GROUP BY k""")
 def text_follower_count(spark, sf_dir):
     return combine.count_lines(lines(spark, sf_dir))
 
 
 @query(f"""{EDGES} SELECT CAST(k AS VARCHAR) AS "user", count(*) AS followers FROM (
-  SELECT dst AS k FROM e WHERE dst % 3 <> 0 UNION ALL SELECT p_partkey FROM part) GROUP BY k""")
+  SELECT dst AS k FROM e UNION ALL SELECT p_partkey FROM part UNION ALL SELECT -p_partkey FROM part) GROUP BY k""")
 def text_line_count(spark, sf_dir):
     return combine.count_lines(lines(spark, sf_dir), "one")
 
 
-def whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All edges as text lines, and as node lines all parts and, for users whom no one follows, their ids with a minus."""
-    path, parts = new_path(spark, "lines"), t.read(spark, sf_dir, "part").select("p_partkey")
-    sinks.write_delimited(t.copurchase(spark, sf_dir), f"{path}/edges", ",")
-    sinks.write_delimited(parts.union(parts.select(-F.col("p_partkey"))), f"{path}/nodes", ",")
-    return readers.text_lines(spark, [f"{path}/edges", f"{path}/nodes"])
+@query(f"{EDGES} SELECT 'edge' AS kind, src AS a, dst AS b FROM e UNION ALL SELECT 'node', p_partkey, p_partkey FROM part")
+def typed_lines(spark, sf_dir):
+    """Edges and nodes parsed from text lines, some of which are malformed: no number, no end, or an empty line."""
+    parts = t.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"))
+    good = t.copurchase(spark, sf_dir).select(F.concat_ws(",", "src", "dst").alias("line")).union(parts)
+    bad = [F.concat("id", F.lit(end)) for end in (",x", ",", "x", ",1.5")] + [F.concat(F.lit("x,"), "id"), F.lit("")]
+    path = new_path(spark, "typed")
+    good.union(parts.select(F.explode(F.array(*bad)))).write.text(path)
+    read = readers.text_lines(spark, path)
+    edges = readers.edges_of_lines(read).select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    return edges.unionByName(readers.nodes_of_lines(read).select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("id").alias("b")))
 
 
-@query(f"""{EDGES} SELECT CAST(k AS VARCHAR) AS "user", CAST(sum(n) AS BIGINT) AS followers FROM (
-  SELECT dst AS k, 1 AS n FROM e UNION ALL SELECT p_partkey, 0 FROM part UNION ALL SELECT -p_partkey, 0 FROM part) GROUP BY k""")
-def text_follower_count_whole(spark, sf_dir):
-    return combine.count_lines(whole_lines(spark, sf_dir))
+for _name, _separator, _sql in (("tab", "\t", "chr(9)"), ("empty", "", "''")):
 
+    @query(f"{EDGES} SELECT dst || {_sql} || count(*) AS line, CAST(1 AS BIGINT) AS files FROM e GROUP BY dst", f"one_file_{_name}")
+    def _one_file(spark, sf_dir, separator=_separator):
+        """Counts as one file of delimited lines, read again with the number of files that hold them."""
+        path = new_path(spark, "one")
+        sinks.write_delimited(combine.follower_count(t.copurchase(spark, sf_dir)), path, separator, one_file=True)
+        files = spark.read.text(path).select(F.input_file_name().alias("file")).distinct().agg(F.count(F.lit(1)).alias("files"))
+        return readers.text_lines(spark, path).crossJoin(F.broadcast(files))  # one row
 
-@query(f"""{EDGES} SELECT CAST(k AS VARCHAR) AS "user", count(*) AS followers FROM (
-  SELECT dst AS k FROM e UNION ALL SELECT p_partkey FROM part UNION ALL SELECT -p_partkey FROM part) GROUP BY k""")
-def text_line_count_whole(spark, sf_dir):
-    return combine.count_lines(whole_lines(spark, sf_dir), "one")
+
+@query("SELECT * FROM (VALUES ('aggregate', true), ('dataset', true), ('fold', true), ('group', false), ('reduce', true)) t(strategy, combined)")
+def combining_plans(spark, sf_dir):
+    """Which ways of combining sum before they shuffle, as their plans tell."""
+    edges = t.copurchase(spark, sf_dir)
+    plans = {s: introspect.plan_text(combine.follower_count(edges, s)) for s in combine.STRATEGIES}
+    rows = [(s, "collect_list" not in plan and ("partial_sum" in plan or "partial_count" in plan)) for s, plan in plans.items()]
+    return spark.createDataFrame(rows, "strategy string, combined boolean")
 
 
 @query(f"{EDGES} SELECT src, dst FROM e")
@@ -112,12 +126,20 @@ def chain_graph(spark, sf_dir):
     return generators.chain_graph(spark, K)
 
 
-@query()
+def _sparse_sql(rows: int, cols: int, density: float, seed: int) -> str:
+    cells = rows * cols
+    draw = generators.uniform_sql("cell", seed, 99)
+    return f"""SELECT cell // {cols} AS "row", cell % {cols} AS col, {draw} + 1 AS val
+  FROM (SELECT (range * {generators.cell_step(cells, seed)} + {seed}) % {cells} AS cell FROM range({round(cells * density)}))"""
+
+
+@query(_sparse_sql(500, 400, 0.01, 7))
 def gen_sparse(spark, sf_dir):
     return generators.sparse_matrix(spark, 500, 400, 0.01, seed=7)
 
 
-@query()
+@query(f"""WITH a AS ({_sparse_sql(300, 200, 0.02, 7)}), b AS ({_sparse_sql(200, 250, 0.02, 8)})
+SELECT a."row" AS i, b.col AS j, CAST(sum(a.val * b.val) AS BIGINT) AS v FROM a JOIN b ON a.col = b."row" GROUP BY 1, 2""")
 def gen_product(spark, sf_dir):
     """Two generated matrices and their product."""
     a = generators.sparse_matrix(spark, 300, 200, 0.02, seed=7).toDF("i", "k", "v")
@@ -125,17 +147,24 @@ def gen_product(spark, sf_dir):
     return matrix.multiply(a, b)
 
 
-@query()
+@query(f"""SELECT {generators.uniform_sql("range", 21, 499)} AS "row", {generators.uniform_sql("range", 22, 399)} AS col, {generators.uniform_sql("range", 23, 100)} AS val
+FROM range(2000)""")
 def gen_triples(spark, sf_dir):
     return generators.random_triples(spark, 500, 400, 0.01, seed=7)
 
 
-@query()
+DRAWN = generators.random_sources(5, 250, seed=3)
+
+
+@query(f"""{EDGES},
+r(source, node, dist) AS (
+  SELECT DISTINCT src, src, 0 FROM e WHERE src IN ({", ".join(map(str, DRAWN))})
+  UNION SELECT r.source, e.dst, r.dist + 1 FROM r JOIN e ON e.src = r.node WHERE r.dist < 12)
+SELECT s AS source, coalesce(CAST(max(dist) AS DOUBLE), -1) AS eccentricity
+FROM (SELECT DISTINCT s FROM (VALUES {", ".join(f"({x}::BIGINT)" for x in DRAWN)}) t(s)) LEFT JOIN (SELECT source, node, min(dist) AS dist FROM r GROUP BY ALL) ON source = s GROUP BY s""")
 def random_sources_distances(spark, sf_dir):
     """Distances from five sources drawn by a seeded generator; some may be absent from the graph."""
-    edges = t.copurchase(spark, sf_dir)
-    sources = generators.random_sources(5, 250, seed=3)
-    return shortest.eccentricity(shortest.distances(edges, sources), sources, unreached=-1.0)
+    return shortest.eccentricity(shortest.distances(t.copurchase(spark, sf_dir), DRAWN), DRAWN, unreached=-1.0)
 
 
 # --- follower counts

@@ -1,4 +1,4 @@
-"""Generated graphs and matrices, made on the executors from ranges and seeded hashes."""
+"""Generated graphs and matrices, made on the executors from ranges and seeded arithmetic that SQL can state as well."""
 
 from __future__ import annotations
 
@@ -23,17 +23,35 @@ def chain_ranks(spark: SparkSession, k: int) -> DataFrame:
     return spark.range(0, k * k + 1).select(F.col("id").alias("node"), F.when(F.col("id") == SINK, 0.0).otherwise(1.0 / (k * k)).alias("rank"))
 
 
+#: The prime that draws are made by, and a multiplier.
+PRIME, FACTOR = 2_147_483_647, 48_271
+
+
 def _uniform(key: Column, salt: int, below: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(below))
+    """A draw from 0 to below - 1: twice a multiplication modulo a prime, with a square between; no step exceeds 64 bits."""
+    first = (F.pmod(key, F.lit(PRIME)) * FACTOR + (salt * 69_621 + 1) % PRIME) % PRIME
+    return ((first * first % PRIME) * FACTOR + first) % PRIME % below
+
+
+def uniform_sql(key: str, salt: int, below: int) -> str:
+    """The same draw in SQL."""
+    first = f"((({key}) % {PRIME}) * {FACTOR} + {(salt * 69_621 + 1) % PRIME}) % {PRIME}"
+    return f"((({first}) * ({first}) % {PRIME}) * {FACTOR} + {first}) % {PRIME} % {below}"
+
+
+def cell_step(cells: int, seed: int) -> int:
+    """The factor of a seeded affine permutation of so many cells."""
+    step = random.Random(seed).randrange(1, cells + 1)
+    while math.gcd(step, cells) != 1:
+        step += 1
+    return step
 
 
 def sparse_matrix(spark: SparkSession, rows: int, cols: int, density: float, seed: int = 0, largest: int = 99) -> DataFrame:
     """(row, col, val): round(rows * cols * density) distinct cells with values 1 to largest. Cells are the first so many of a
     seeded permutation of all of them (an affine map), so that no set of used cells has to be kept."""
     cells = rows * cols
-    step = random.Random(seed).randrange(1, cells + 1)
-    while math.gcd(step, cells) != 1:
-        step += 1
+    step = cell_step(cells, seed)
     cell = F.pmod(F.col("id").cast("decimal(38,0)") * F.lit(step).cast("decimal(19,0)") + F.lit(seed), F.lit(cells)).cast("bigint")
     out = spark.range(round(cells * density)).select(cell.alias("cell"))
     return out.select(F.expr(f"cell div {cols}").alias("row"), (F.col("cell") % cols).alias("col"), (_uniform(F.col("cell"), seed, largest) + 1).alias("val"))

@@ -27,13 +27,14 @@ WHERE a.l_partkey <> b.l_partkey
 
 def user_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): each event's user and the next event's, with duplicates and self-loops. The order is found day by day;
-    only the first event of each day is ordered among the days."""
+    only the first event of each day is ordered among the days. Events without a time come last."""
     events = read(spark, sf_dir, "events").select("ts", "event_id", "user_id").withColumn("day", F.to_date("ts"))
     order = F.struct("ts", "event_id")
     within = events.withColumn("next", F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id")))
     days = events.groupBy("day").agg(F.min_by("user_id", order).alias("first"))
-    days = days.select("day", F.lead("first").over(Window.orderBy("day")).alias("tomorrow"))  # one row a day
-    joined = within.join(days, "day").select(F.col("user_id").alias("src"), F.coalesce("next", "tomorrow").alias("dst"))
+    days = days.select("day", F.lead("first").over(Window.orderBy(F.col("day").asc_nulls_last())).alias("tomorrow"))  # one row a day
+    days = days.withColumnRenamed("day", "of")
+    joined = within.join(days, F.col("day").eqNullSafe(F.col("of"))).select(F.col("user_id").alias("src"), F.coalesce("next", "tomorrow").alias("dst"))
     return joined.where(F.col("dst").isNotNull())
 
 

@@ -103,3 +103,23 @@ def test_pagerank_keeps_its_mass_on_any_graph(spark):
     graph = pagerank.sunk(edges(spark, [(1, 2), (1, 3), (3, 1), (2, 4)]))
     ranks = spark.createDataFrame([(0, 0.0), *((i, 0.25) for i in range(1, 5))], "node bigint, rank double")
     assert all(abs(r["mass"] - 1) < 1e-12 for r in pagerank.pagerank(graph, ranks, 5)[1].collect())
+
+
+def test_a_hub_makes_no_paths_through_it(spark):
+    """Edges into and out of one hub, and one triangle: without the order of degrees the hub alone makes n * n paths."""
+    n = 300
+    edges = [(i, 0) for i in range(1, n)] + [(0, i) for i in range(n, 2 * n)] + [(n, 1)]
+    frame = spark.createDataFrame(edges, "src bigint, dst bigint")
+    for strategy in ("shuffle", "broadcast"):
+        assert tuple(paths.triangles(frame, strategy).first()) == (3, 1)
+    degree = {}
+    for a, b in edges:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    rank = lambda v: (degree[v], v)
+    into, out = {}, {}
+    for a, b in edges:
+        if rank(b) < rank(a):
+            into[b] = into.get(b, 0) + 1
+        else:
+            out[a] = out.get(a, 0) + 1
+    assert sum(x * out.get(v, 0) for v, x in into.items()) <= len(edges)
