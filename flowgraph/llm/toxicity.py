@@ -1,15 +1,18 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of its words and their prefixes (of 3 to 6
-letters, for inflected words); the document's is the noisy-or of its sentences' scores, 1 - prod(1 - p). Only documents
-are labelled: the weights, none below 0, maximise the likelihood of
-the documents' labels through the noisy-or. Once learned, the
-sentences that carry a document's score can be named.
+A document is a bag of sentences. A sentence's chance to offend is a logistic function of its words and their prefixes (of 3
+to 6 letters, for inflected words), p, against that of a sentence without any telling word, q. The document's score is the
+noisy-or of its sentences over that of as many such sentences, and of a fixed leak (documents are labelled without telling
+words, too): 1 - (1 - LEAK) * prod((1 - p) / (1 - q)), so that length alone never scores. Only documents are labelled: the
+weights, none below 0, maximise the likelihood of their labels by this very score. Once learned, the sentences that carry a
+document's score can be named.
 
 The model is learned in one task from at most `positives` and `negatives` labelled documents (bounds as parameters),
 chosen by a hash of their ids. Broadcast are those ids (bounded alike) and the weights, FEATURES of them at most.
 
-Cases: null and empty text have no sentences and score 0; rows without a label, or of null label or id, are not learned
+Cases: null and empty text, and text without words, have no sentences and score 0; texts of any length are read whole, letters
+whose lower case is longer stay as they are; repeated rows score alike, and of rows that repeat an id the greatest text is
+learned from; the sample's order is that of a hash of the ids, ties by id; rows without a label, or of null label or id, are not learned
 from; a document labelled twice counts as labelled 1 if any of its labels is 1; without documents of both labels every
 score is 0; further columns pass through, but for those of a result's name, which the results replace.
 """
@@ -31,6 +34,8 @@ from .tables import without
 FEATURES = 4096
 POSITIVES, NEGATIVES = 2000, 4000
 THRESHOLD = 0.3
+#: The likelihood that a document is labelled toxic without any telling word.
+LEAK = 0.01
 ROUNDS = 300
 #: Most words whose weight a task remembers; bounds memory only.
 MEMO_WORDS = 1 << 16
@@ -44,6 +49,12 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in range(3, 7) if n < len(word))]
 
 
+def fold(text: str) -> str:
+    """The text in lower case, letter by letter, so that places stay."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
+
+
 def learn(texts: list[str | None], labels: np.ndarray, rounds: int = ROUNDS) -> dict[str, float]:
     """Weights by feature, and the bias under the empty name."""
     numbers: dict[str, int] = {}
@@ -51,7 +62,7 @@ def learn(texts: list[str | None], labels: np.ndarray, rounds: int = ROUNDS) ->
     docs = []  # of each document, of each sentence its feature numbers
     for text in texts:
         sentences, own = [], set()
-        for token in TOKEN.findall((text or "").lower()):
+        for token in TOKEN.findall(fold(text or "")):
             if token in ENDS:
                 if own:
                     sentences.append(own)
@@ -92,12 +103,12 @@ def learn(texts: list[str | None], labels: np.ndarray, rounds: int = ROUNDS) ->
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, rounds + 1):
         z = b + np.bincount(row_of, w[column], minlength=at)
-        p = 1 / (1 + np.exp(-z))
-        total = np.bincount(doc_of, np.logaddexp(0, z), minlength=len(y))
-        slope = np.where(y > 0, -np.exp(-total) / np.maximum(-np.expm1(-total), 1e-9), 1.0)
+        p, base = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
+        total = np.bincount(doc_of, np.logaddexp(0, z) - np.logaddexp(0, b), minlength=len(y)) - np.log1p(-LEAK)
+        slope = np.where(y > 0, -np.exp(-total) / -np.expm1(-total), 1.0)
         each = slope[doc_of] * p
         gw = np.bincount(column, each[row_of], minlength=len(w)) / len(y) + 2e-5 * w
-        gb = each.sum() / len(y)
+        gb = (each.sum() - (slope[doc_of] * base).sum()) / len(y)
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.15 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -149,7 +160,7 @@ class Weights(dict):
 
 def sentence_sums(text: str, weights: Weights, bias: float) -> np.ndarray:
     """The logits of the sentences that have words."""
-    tokens = TOKEN.findall(text.lower())
+    tokens = TOKEN.findall(fold(text))
     x = np.fromiter(map(weights.__getitem__, tokens), np.float64, len(tokens))
     ends = np.isnan(x)
     starts = np.flatnonzero(np.concatenate([[True], ends[:-1]]))
@@ -158,9 +169,9 @@ def sentence_sums(text: str, weights: Weights, bias: float) -> np.ndarray:
     return (bias + np.add.reduceat(x, starts))[words > 0]
 
 
-def noisy_or(sums: np.ndarray, bias: float) -> float:
-    """The document's score. A sentence without any telling word scores nothing, so that length alone never does."""
-    return min(1.0, max(0.0, float(-np.expm1((np.logaddexp(0, bias) - np.logaddexp(0, sums)).sum()))))
+def noisy_or(sums: np.ndarray, bias: float, leak: float = LEAK) -> float:
+    """The document's score, the likelihood that is learned; 0 without sentences."""
+    return min(1.0, max(0.0, float(-np.expm1((np.logaddexp(0, bias) - np.logaddexp(0, sums)).sum() + np.log1p(-leak))))) if len(sums) else 0.0
 
 
 def score(df: DataFrame, weights: dict[str, float], text: str = "text", names: tuple[str, str] = ("score", "offending"), threshold: float = THRESHOLD) -> DataFrame:
@@ -173,23 +184,24 @@ def score(df: DataFrame, weights: dict[str, float], text: str = "text", names: t
 
     def spans(value: str, known: Weights, bias: float) -> list[dict]:
         found, start, sums, end = [], None, bias, 0
-        for match in [*TOKEN.finditer(value), None]:
+        for match in [*TOKEN.finditer(fold(value)), None]:
             if match is None or match[0] in ENDS:
                 if start is not None:
                     found.append({"start": start, "end": end, "score": float(1 / (1 + np.exp(-sums)))})
                 start, sums = None, bias
             else:
                 start, end = match.start() if start is None else start, match.end()
-                sums += known[match[0].lower()] if match[0].lower() not in ENDS else 0.0
+                sums += known[match[0]]
         high = [x for x in found if x["score"] >= threshold]
         return high or ([max(found, key=lambda x: x["score"])] if found else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bias = Weights(shared.value), shared.value[""]
+        leak = LEAK if len(shared.value) > 1 else 0.0  # nothing was learned
         for batch in batches:
             scores, where = [], []
             for value in batch.column(at).to_pylist():
-                p = noisy_or(sentence_sums(value, known, bias), bias) if value else 0.0
+                p = noisy_or(sentence_sums(value, known, bias), bias, leak) if value else 0.0
                 scores.append(p)
                 where.append(spans(value, known, bias) if value and p >= threshold else [])
             more = [pa.array(scores, pa.float64()), pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))]

@@ -84,6 +84,48 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in rows)
 
 
+def test_toxicity_against_a_plain_version(spark):
+    """Every row of op8, scored word by word and sentence by sentence with the weights learned."""
+    import math
+    import re
+
+    sf = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    weights = q_toxicity.learned(table, labels)
+    assert len(weights) > 1
+
+    def plain(text):
+        chance = lambda z: 1 / (1 + math.exp(-z))
+        left, sentences = 1.0, 0
+        for sentence in re.split(r"[.!?\n]", "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "")):
+            own = re.findall(r"[^\W_]+", sentence)
+            z = weights[""] + sum(weights.get(f, 0.0) for w in own for f in [w, *(w[:n] + "-" for n in range(3, 7) if n < len(w))])
+            if own:
+                left, sentences = left * (1 - chance(z)) / (1 - chance(weights[""])), sentences + 1
+        return 1 - (1 - toxicity.LEAK) * left if sentences else 0.0
+
+    found = {r["doc_id"]: r for r in q_toxicity.op8_toxicity(spark, sf).collect()}
+    rows = table.select("doc_id", "text").collect()
+    assert len(found) == len(rows)
+    for r in rows:
+        assert abs(found[r["doc_id"]]["score"] - plain(r["text"])) < 1e-9
+        assert found[r["doc_id"]]["predicted"] == (found[r["doc_id"]]["score"] >= 0.3)
+
+
+def test_learned_ties_and_repeated_rows(spark):
+    """Languages of equal texts: the first name wins; repeated rows are judged alike, and capitals that grow don't move spans."""
+    rows = [(i, "common words of one text", ("bb", "aa")[i % 2]) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = langid.predict(table.union(table), langid.fit(table)).collect()
+    assert len(found) == 80 and {r["lang_pred"] for r in found} == {"aa"}
+    assert len({(r["text"], r["score"]) for r in found}) == len({r["text"] for r in found})
+    weights = {"": -6.0, "scum": 9.0}
+    df = spark.createDataFrame([(1, "\u0130\u0130 fine. You SCUM!")] * 2, "doc_id bigint, text string")
+    for r in toxicity.score(df, weights).collect():
+        span = r["offending"][0]
+        assert r["text"][span["start"] : span["end"]] == "You SCUM"
+
+
 def test_toxicity_of_awkward_rows(spark):
     rows = [(i, f"fine words number{i} here. more good words" + (" you scum" if i % 3 == 0 else ""), None, None, 0) for i in range(120)]
     labels = spark.createDataFrame([*((i, int(i % 3 == 0)) for i in range(120)), (0, 0), (None, 1), (5, None), (999, 1)], "doc_id bigint, toxic int")
