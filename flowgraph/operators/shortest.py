@@ -10,6 +10,10 @@ from ..plans.checkpoint import materialise, partitioned
 from .combine import vertices
 
 
+#: Rounds after which the distances found so far are written as one table: plans stay bounded however long the paths are.
+COMPACT = 8
+
+
 def start(edges: DataFrame, sources: list[int]) -> DataFrame:
     """(source, node, dist): every source that the graph has, at itself. Absent sources have no rows; repeats count once."""
     spark = edges.sparkSession
@@ -35,11 +39,13 @@ def distances(edges: DataFrame, sources: list[int], max_iter: int | None = None)
     def hop(now: DataFrame, _: int) -> DataFrame:
         return relax(edges, now).join(known, ["source", "node"], "left_anti")
 
-    def done(now: DataFrame, _: int) -> bool:
+    def done(now: DataFrame, round_: int) -> bool:
         nonlocal known
         if now.isEmpty():
             return True
         known = known.unionByName(now)
+        if round_ % COMPACT == 0:
+            known = materialise(known, "distances")
         return False
 
     try:

@@ -90,6 +90,13 @@ def test_distances(spark):
     assert shortest.distances(edges(spark, PATH4), [1], max_iter=2).count() == 3
 
 
+def test_long_paths_make_no_long_plans(spark, monkeypatch):
+    monkeypatch.setattr(shortest, "COMPACT", 4)
+    found = shortest.distances(edges(spark, [(i, i + 1) for i in range(1, 12)]), [1])
+    assert sorted(map(tuple, found.collect())) == [(1, i + 1, i) for i in range(12)]
+    assert len(found.inputFiles()) and found._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 4
+
+
 def test_pagerank_chain(spark):
     ranks, history = pagerank.pagerank(generators.chain_graph(spark, 100), generators.chain_ranks(spark, 100))
     found = dict(map(tuple, ranks.collect()))
