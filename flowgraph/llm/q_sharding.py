@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sharding import MULTIPLIER, PARTS, sharded
+from .sharding import MULTIPLIER, PART_ROWS, PARTS, sharded
 from .tables import read
 
 SHARDS = 24
@@ -38,8 +38,8 @@ placed AS (
   SELECT r, max(b) FILTER (b < {SHARDS}) AS shard, max(b) AS grown FROM jump GROUP BY r),
 rows AS (
   SELECT d.doc_id, CAST(len(h) // 2 + 8 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law,
-    CAST(shard AS INTEGER) AS shard, CAST(grown AS INTEGER) AS grown_shard, (key + CAST(crc AS BIGINT)) % {PARTS} AS part
-  FROM crc d JOIN placed USING (r))
+    CAST(shard AS INTEGER) AS shard, CAST(grown AS INTEGER) AS grown_shard, (key + CAST(crc AS BIGINT)) % parts AS part
+  FROM crc d JOIN placed USING (r), (SELECT greatest({PARTS}, CAST(ceil(count(*) / {SHARDS * PART_ROWS}.0) AS BIGINT)) AS parts FROM docs))
 SELECT doc_id, size, text_crc32, law, shard, grown_shard,
   CAST(row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot
 FROM rows

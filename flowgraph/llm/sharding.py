@@ -6,10 +6,12 @@ limbs of 24, 24 and 16 bits, so that no expression overflows, under ANSI rules t
 
 Rows get gapless slots within their shard. A shard may hold more rows than one task should sort: it is cut into `parts`
 by a hash of the row, each part is numbered on its own and starts after the rows of the parts before it (their counts are
-summed before they are shuffled, shards * parts rows in all).
+summed before they are shuffled, shards * parts rows in all). Parts follow a count of the rows, so that what one task sorts
+stays the same size however large the table is.
 
-Cases: a null key counts as 0; null text has no bytes and the CRC 0; equal rows get different slots; an empty table gives
-an empty result; further columns pass through, but for those of a result's name, which the results replace.
+Cases: a null key counts as 0; null text has no bytes and the CRC 0; equal rows (the only ties) get different slots, in any
+order; a very long text is one row of its shard, and is sorted by its key, CRC and size and not by its text; an empty table
+gives an empty result; further columns pass through, but for those of a result's name, which the results replace.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from .tables import unique_name, without
 #: Fixed values of the published generator.
 MULTIPLIER = 2862933555777941757
 LIMB, TOP = (1 << 24) - 1, (1 << 16) - 1
-PARTS = 64
+#: Parts of a shard, at least, and rows that a part is to have, on average, once there are more.
+PARTS, PART_ROWS = 64, 1 << 18
 
 
 def jump_shard(key: Column, shards: int) -> Column:
@@ -50,9 +53,10 @@ def jump_shard(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["shard"].cast("int"))
 
 
-def sharded(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", parts: int = PARTS) -> DataFrame:
+def sharded(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """df with shard (int), slot (long, gapless from 0 in each shard), size (bytes of the text plus 8), text_crc32 and
-    grown_shard (the shard with one shard more)."""
+    grown_shard (the shard with one shard more). parts: of each shard; None counts df for it, once more."""
+    parts = parts or max(PARTS, -(-df.count() // (shards * PART_ROWS)))
     df = without(df, ("shard", "slot", "size", "text_crc32", "grown_shard"), key)
     part, shift, rank, s, p = (unique_name(df, x) for x in ("shard_part", "shard_shift", "shard_rank", "shard_of", "shard_part_of"))
     body = F.coalesce(F.col(text), F.lit(""))

@@ -155,6 +155,15 @@ def test_shards(spark):
     assert sharding.sharded(docs(spark, []), 5).count() == 0
 
 
+def test_parts_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PARTS", 2)
+    monkeypatch.setattr(sharding, "PART_ROWS", 4)
+    df = docs(spark, ["same"] * 40 + [str(i) for i in range(60)])
+    found = sharding.sharded(df, 5).orderBy("doc_id").collect()
+    assert found == sharding.sharded(df, 5, parts=5).orderBy("doc_id").collect()
+    assert all(sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found))) for s in range(5))
+
+
 def test_urls(spark):
     urls = [
         (None, "", "", None), ("nothing", "", "", None), ("http://EXAMPLE.net", "example.net", "", None), ("http://a.example.net/en/1?x=/y", "a.example.net", "/en/1", "example.net/en/"),
