@@ -6,9 +6,10 @@ over all of them. Decoding gathers the vocabulary's binary pieces by id and conc
 
 The vocabulary is a rank file (base64 piece, blank, rank per line); its bytes, not the corpus, are what is broadcast.
 
-Cases: null text encodes as empty text, to no ids; null ids decode to null; an id outside the vocabulary decodes to no
-bytes; empty tables give empty results; further columns pass through unchanged, but for one that has a result's name, which
-the result replaces (choose another name by the parameter).
+Cases: null text encodes as empty text, to no ids; a very long text is held alone, and a very long piece of one is merged with
+a heap; rows that repeat a text get the same ids; of equal merges in a piece the leftmost goes first; null ids decode to null; an
+id outside the vocabulary decodes to no bytes; empty tables give empty results; further columns pass through unchanged, but for
+one that has a result's name, which the result replaces (choose another name by the parameter).
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ rows a language (the bound is a parameter), chosen by a hash of the key. Broadca
 DIMENSIONS * clusters numbers a language; the languages are the classes of the labels.
 
 Cases: null text and text without a letter are `und` with score 0 and rejected; nothing learned: all `und`; rows of null
-language are not learned from; an empty table gives an empty result; ties between centroids go to the first language in
+language are not learned from; a very long text is counted in spans of bounded size, whole; rows that repeat a text get the same
+prediction, and each counts in what is learned; an empty table gives an empty result; ties between centroids go to the first language in
 code point order; further columns pass through, but for those of a result's name, which the results replace.
 """
 

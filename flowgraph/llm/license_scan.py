@@ -12,7 +12,8 @@ windows are taken by score, each apart from those before; where windows of sever
 bigrams counts. A window that overlaps a line's or the text's own match of the same licence is that match, and one that
 overlaps a line's match with no more in common is left out.
 
-Cases: null and empty text have no match; a unit of fewer than two words has no bigrams and no match; of equal scores
+Cases: null and empty text have no match; a very long text is worked on alone, whole; rows that repeat a text have the
+same matches; a unit of fewer than two words has no bigrams and no match; of equal scores
 the first template by name counts; an empty table gives an empty result; further columns pass through, but
 for one of the result's name, which the result replaces.
 """

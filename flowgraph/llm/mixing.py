@@ -8,8 +8,10 @@ fraction. Built-in expressions only.
 The per-source table has one row a source. It is broadcast only while it has at most `broadcast_sources` rows, else
 joined by a shuffle in which every source is dealt out over `salts` keys, so that a hot source is no hot task.
 
-Cases: null text has size 0; the null source is a source, the last in order; sources of size 0 get target 0; null ids
-hash as a fixed text; rows of equal id and source share their decision; an empty table gives an empty mix; further columns pass through.
+Cases: null and empty text has size 0; a very long text counts its words where it is read and is taken whole or not at all;
+the null source is a source, the last in order; sources of size 0 get target 0; sources that stop at the same level go by their
+place in order; null ids hash as a fixed text; rows that repeat an id and source share their decision; an empty table gives
+an empty mix; further columns pass through, also those of a result's name, as the results then take another name.
 """
 
 from __future__ import annotations
