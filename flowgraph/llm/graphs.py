@@ -1,6 +1,7 @@
-"""Connected components of a link table: what one task's links connect is folded first, in a few bytes a node; then stars
-are contracted in turns (larger neighbours, smaller neighbours), in which no node's links are gathered in one row, until
-nothing changes. Both steps run at every size."""
+"""Connected components of a link table: what one task's links connect is folded, where they are read and then in as few
+tasks as hold FOLDED links each, so that no link is shuffled. What these tasks leave is contracted as stars in turns (larger
+neighbours, smaller neighbours), in which no node's links are gathered in one row, and folded again, until nothing changes.
+Stars run only where the folded links are more than one task holds."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checkpoint import Steps
 
-#: Nodes that a task folds at once; what they connect is handed on, and a new fold begins.
+#: Links that a task is given, and nodes that it folds at once; what they connect is handed on, and a new fold begins.
 FOLDED = 500_000
 
 
@@ -44,11 +45,17 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has a link to another; the component is its smallest node."""
+    found = members(links, a, b)
+    return found.union(found.select("component", "component").distinct())
+
+
+def members(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of every node that is linked to a smaller one, once each; the smallest nodes have no rows."""
     steps = Steps(links.sparkSession)
     high, low = F.greatest(F.col(a), F.col(b)), F.least(F.col(a), F.col(b))
-    proper = links.where(F.col(a) != F.col(b)).select(high.alias("hi"), low.alias("lo")).distinct()
+    proper = links.where(F.col(a) != F.col(b)).select(high.alias("hi"), low.alias("lo"))
     edges = steps.put("edges", proper.mapInArrow(_fold, "hi long, lo long"))
-    while not _stars(edges):
+    while not _stars(edges := steps.put("edges", _refold(edges))):
         # Large stars: each node's larger neighbours are linked to the smallest node around it.
         both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("m"))
@@ -57,8 +64,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e"))
         edges = steps.put("edges", small.select("e.hi", "e.lo").where("hi != lo").distinct())
-    nodes = F.explode(F.array("hi", "lo")).alias("node")
-    return edges.select(nodes, F.col("lo").alias("component")).distinct()
+    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+
+
+def _refold(edges: DataFrame) -> DataFrame:
+    """The written links, folded in as few tasks as hold FOLDED links each."""
+    return edges.coalesce(max(1, -(-edges.count() // FOLDED))).mapInArrow(_fold, "hi long, lo long")
 
 
 def _stars(edges: DataFrame) -> bool:

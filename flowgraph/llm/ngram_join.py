@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.checkpoint import Steps, broadcast_if_small
-from .graphs import components
+from .graphs import members
 from .shingles import set_ids, sets
 from .tables import ship
 
-#: The sketch: counters by hash, in slices that are summed apart. Its 16 MB (less when packed) are broadcast, at any size of
-#: the corpus; hashes are counted so many at once.
+#: The sketch: counters by hash, in slices that are unpacked one at a time. Its 16 MB (less when packed) are broadcast, at
+#: any size of the corpus; hashes are counted so many at once.
 SKETCH_BITS, SLICES, COUNTED = 22, 16, 1 << 21
+#: Sketches that one task sums, round after round, until one is left.
+SUMMED = 64
 #: Rows of ids that may be broadcast (16 bytes each); beyond, the join is by shuffle.
 BROADCAST_IDS = 250_000
 LEADER_ROUNDS = 2
@@ -228,21 +230,25 @@ def _leaders(entries: DataFrame, percent: int, round_: int) -> DataFrame:
 
     ranged = entries.withColumn("range", _range(percent))
     ordered = ranged.repartition("token", "range").sortWithinPartitions("token", "range", "n", "sid").select("token", "range", "n", "sid", "pos", "class")
-    met = ordered.mapInArrow(run, "b long, a long").groupBy("b", "a").agg(F.count(F.lit(1)).alias("met"))
+    # Dealt out by b once, for the counts, the window and the join that follows.
+    met = ordered.mapInArrow(run, "b long, a long").repartition("b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("met"))
     place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("met"), "a"))
     return met.withColumn("place", place).where(F.col("place") <= PARTNERS).select("b", "a")
 
 
-def _all_pairs(entries: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+def _all_pairs(entries: DataFrame, whole: DataFrame, percent: int, steps: Steps) -> DataFrame:
     """All pairs (b, a) of sets of different classes that fit each other, whose bounded bitmaps allow the similarity, and that
     meet in as many lists as linked sets do. A list
     is dealt out by size ranges: an entry is compared with those before it in its own range and with all that fit of the
     range before. Where a list and range hold many entries, these are dealt to several tasks, each with all of the range."""
-    ranged = entries.join(whole.select("sid", "brief"), "sid").withColumn("range", _range(percent))
-    rows = ranged.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("range", F.col("range") + F.col("up"))
-    many = rows.groupBy("token", "range").agg(F.ceil(F.count(F.lit(1)) / LIST_SHARE).cast("int").alias("parts")).where("parts > 1")
-    many = broadcast_if_small(many.select(F.col("token").alias("hot"), F.col("range").alias("hot_range"), "parts"), BROADCAST_IDS)
-    rows = rows.join(many, (F.col("token") == F.col("hot")) & (F.col("range") == F.col("hot_range")), "left")
+
+    def ranged(df: DataFrame) -> DataFrame:
+        return df.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("up")).withColumn("range", _range(percent) + F.col("up"))
+
+    many = ranged(entries).groupBy("token", "range").agg(F.ceil(F.count(F.lit(1)) / LIST_SHARE).cast("int").alias("parts")).where("parts > 1")
+    many = steps.put("many", many.select(F.col("token").alias("hot"), F.col("range").alias("hot_range"), "parts"))
+    many = broadcast_if_small(many, BROADCAST_IDS)
+    rows = ranged(entries.join(whole.select("sid", "brief"), "sid")).join(many, (F.col("token") == F.col("hot")) & (F.col("range") == F.col("hot_range")), "left")
     rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asks = (F.col("up") == 0) & (F.pmod(F.xxhash64("sid"), F.col("parts")) == F.col("part"))
 
@@ -381,7 +387,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     profile = steps.put("profile", _profile(docs, width))
     rows = profile.where(F.col("slice").isNull()).select("key", "n", "sid")
     slices = profile.where(F.col("slice").isNotNull()).select("slice", "counts")
-    slices = _sum_slices(_sum_slices(slices).repartition("slice"))
+    slices = steps.put("slices", _sum_slices(slices))
+    while (n := slices.count()) > SLICES:
+        slices = steps.put("slices", _sum_slices(slices.coalesce(-(-n // (SLICES * SUMMED)))))
     parts = {r["slice"]: r["counts"] for r in slices.collect()}  # SLICES rows, the sketch's fixed size in all
     if not parts:
         return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
@@ -401,18 +409,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
             pairs = _possible(_leaders(labelled, percent, round_), whole, percent)
             pairs = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
         else:
-            pairs = _possible(_all_pairs(labelled, whole, percent), whole, percent).select("b", "a")
+            pairs = _possible(_all_pairs(labelled, whole, percent, steps), whole, percent).select("b", "a")
         pairs = steps.put("pairs", pairs)
         links = steps.put("links", _links(pairs, whole, percent))
         if classes is not None:
             links = links.union(classes.select(F.col("node").alias("b"), F.col("component").alias("a")))
-        classes = steps.put("classes", components(links, "b", "a"))
+        classes = steps.put("classes", members(links, "b", "a"))
         if round_ is not None:
             of = classes.withColumnRenamed("node", "sid").withColumnRenamed("component", "of")
             now = steps.put("placed", lists.join(of, "sid", "left").withColumn("class", F.coalesce("of", "sid")).drop("of"))
             several = now.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("token")
             labelled = steps.put("labelled", now.join(several, "token", "left_semi"))
-    steps.drop("live", "wanted", "lists", "placed", "labelled", "pairs", "links", "sets")
+    steps.drop("slices", "live", "wanted", "many", "lists", "placed", "labelled", "pairs", "links", "sets")
 
     # The smallest key of each set's class; sets of more than a thousandth of the rows, below a thousand, are looked up by broadcast.
     own = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"))

@@ -149,3 +149,43 @@ def test_components(spark):
     many = spark.createDataFrame(links, "a bigint, b bigint").repartition(9)  # no task sees a whole component
     assert dict(map(tuple, graphs.components(many).collect())) == expected
     assert graphs.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_links_in_many_tasks_fold_without_rounds(spark, monkeypatch):
+    draw, put, names = random.Random(3), graphs.Steps.put, []
+    monkeypatch.setattr(graphs.Steps, "put", lambda self, name, df: names.append(name) or put(self, name, df))
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(300)] + [(3000 + i, 3000 + draw.randrange(600)) for i in range(600)]
+    draw.shuffle(links)
+    parent = {}
+
+    def root(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    expected = {i: root(i) for i in parent if any(i in x and x[0] != x[1] for x in links)}
+    held = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # as on many machines
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(links, "a bigint, b bigint").repartition(30).cache()
+        assert dict(map(tuple, graphs.components(df).collect())) == expected
+        assert len(names) <= 2  # where they are read, and in one task; rounds of stars are for more links than a task holds
+        assert sorted(map(tuple, graphs.members(df).collect())) == sorted((i, c) for i, c in expected.items() if i != c)
+        monkeypatch.setattr(graphs, "FOLDED", 100)
+        assert sorted(map(tuple, graphs.members(df).collect())) == sorted((i, c) for i, c in expected.items() if i != c)
+        assert len(names) > 6
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_sketches_are_summed_in_rounds(spark, corpus, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SUMMED", 2)
+    df = spark.createDataFrame(list(enumerate(corpus)), "doc_id bigint, text string").repartition(7)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect()}
+    assert found == brute(corpus)
